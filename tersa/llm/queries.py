@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import sharding
+from tersa.llm import packing, sharding, token_output
 from tersa.llm.common import documents
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), capacity=4096)
+
+
+def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_output.write_and_index(documents(spark, sf_dir))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir), shards=24)
     return rows.select(
@@ -27,6 +36,8 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_elias_fano_ids": op8_elias_fano_ids,
         "op9_virtual_slots": op9_virtual_slots,
     }
 

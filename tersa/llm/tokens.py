@@ -23,7 +23,7 @@ CACHE_WORDS = 250_000
 
 #: Texts with any other character are encoded by the library as a whole.
 _NOT_PLAIN = re.compile("[^\x20-\x7e\t\n\r\x0b\x0cÀ-į]")
-_LETTERS = "a-zà-öø-į"
+_LETTERS = "a-zßà-öø-į"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
