@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import packing, sharding, token_output
+from tersa.llm import fingerprints, packing, quality_rules, sharding, token_output
 from tersa.llm.common import documents
 
 
+def op3_bloom_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
@@ -34,13 +38,79 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict, _ = quality_rules.judge(documents(spark, sf_dir), host="source")
+    return verdict.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "removed_words",
+    )
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), l AS (
+  SELECT doc_id, host, t, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line,
+               unnest(range(len(string_split(t, chr(10))))) AS k FROM d)
+), n AS (
+  SELECT doc_id, host, t, k, line, len(lw) AS words,
+         translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM l WHERE len(lw) > 0
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS n_host FROM d GROUP BY host
+), freq AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n_docs FROM n GROUP BY host, norm)
+  JOIN hosts USING (host) WHERE n_docs > 20 AND 100 * n_docs > 10 * n_host
+), gone AS (
+  SELECT doc_id, sum(words) AS removed_words FROM n JOIN freq USING (host, norm) GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 5)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+  FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND 100 * (n_words - removed_words) >= 30 * n_words AS kept,
+       removed_words
+FROM base
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_elias_fano_ids": op8_elias_fano_ids,
         "op9_virtual_slots": op9_virtual_slots,
+        "op10_line_frequency": op10_line_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_line_frequency": OP10_SQL,
+    }
