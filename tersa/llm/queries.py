@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import fingerprints, packing, quality_rules, sharding, token_output
+from tersa.llm import fingerprints, mixing, packing, quality_rules, sharding, token_output
 from tersa.llm.common import documents
 
 
@@ -15,6 +15,97 @@ def op3_bloom_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
+#: Target weights of the query and of the pipeline: the first domain half as much again, English triple.
+MIX_WEIGHTS = {("d0",): 3, ("d1",): 2, ("d2",): 2, ("d3",): 2, ("*", "en"): 3}
+
+
+def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, _ = mixing.mix(documents(spark, sf_dir), max_epochs=2, weights=MIX_WEIGHTS, seed=17)
+    return chosen.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "domain",
+        F.col("doc.lang").alias("lang"),
+        F.col("doc.source").alias("source"),
+        "epoch",
+        "n_tokens",
+        "order_key",
+    )
+
+
+_FILL = """
+{n}_a AS (
+  SELECT *, CASE WHEN weight > 0 THEN cap::DOUBLE / weight::DOUBLE ELSE 'inf'::DOUBLE END AS ratio FROM {n}_in
+), {n}_b AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY {p} ORDER BY ratio, {k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(weight) OVER (PARTITION BY {p} ORDER BY ratio, {k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wleft,
+         row_number() OVER (PARTITION BY {p} ORDER BY ratio, {k}) AS pos
+  FROM {n}_a
+), {n}_c AS (
+  SELECT *, budget - filled AS room, weight > 0 AND cap::HUGEINT * wleft <= weight::HUGEINT * (budget - filled) AS is_full FROM {n}_b
+), {n}_d AS (
+  SELECT *, min(CASE WHEN NOT is_full THEN pos END) OVER (PARTITION BY {p}) AS first_open FROM {n}_c
+), {n}_e AS (
+  SELECT *, max(CASE WHEN pos = first_open THEN room END) OVER (PARTITION BY {p}) AS rest,
+         max(CASE WHEN pos = first_open THEN wleft END) OVER (PARTITION BY {p}) AS weights FROM {n}_d
+), {n}_f AS (
+  SELECT *, coalesce(pos >= first_open AND weight > 0 AND weights > 0, false) AS is_open FROM {n}_e
+), {n}_g AS (
+  SELECT *, CASE WHEN is_open THEN (weight::HUGEINT * rest) // weights ELSE 0 END AS low FROM {n}_f
+), {n}_h AS (
+  SELECT *, rest - sum(low) OVER (PARTITION BY {p}) AS lost FROM {n}_g
+), {n} AS (
+  SELECT *, CASE WHEN is_open THEN least(cap, low + CASE WHEN pos - first_open < lost THEN 1 ELSE 0 END)
+                 WHEN is_full THEN cap ELSE 0 END AS share FROM {n}_h
+)"""
+
+OP5_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         'd' || CAST((instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) // 4 AS VARCHAR) AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens
+  FROM documents
+), s1_in AS (
+  SELECT domain, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 WHEN 'd2' THEN 2 WHEN 'd3' THEN 2 ELSE 1 END AS weight,
+         (SELECT sum(n_tokens) FROM d) AS budget, 0 AS root
+  FROM d GROUP BY domain
+), """
+    + _FILL.format(n="s1", p="root", k="domain").strip()
+    + """, s2_in AS (
+  SELECT d.domain, d.lang, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, CASE d.lang WHEN 'en' THEN 3 ELSE 1 END AS weight, any_value(s1.share) AS budget
+  FROM d JOIN s1 ON d.domain = s1.domain GROUP BY d.domain, d.lang
+), """
+    + _FILL.format(n="s2", p="domain", k="lang").strip()
+    + """, s3_in AS (
+  SELECT d.domain, d.lang, d.source, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, 1 AS weight, any_value(s2.share) AS budget
+  FROM d JOIN s2 ON d.domain = s2.domain AND d.lang = s2.lang GROUP BY d.domain, d.lang, d.source
+), """
+    + _FILL.format(n="s3", p="domain, lang", k="source").strip()
+    + """, leaf AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
+         share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest
+  FROM s3
+), keyed AS (
+  SELECT d.*, epochs, rest, md5('17:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM d JOIN leaf USING (domain, lang, source)
+), done AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed
+), cuts AS (
+  SELECT domain, lang, source, max(key) AS cut FROM done WHERE before < rest GROUP BY domain, lang, source
+), times AS (
+  SELECT k.*, epochs + CASE WHEN key <= coalesce(cut, '') THEN 1 ELSE 0 END AS n FROM keyed k LEFT JOIN cuts USING (domain, lang, source)
+), each AS (
+  SELECT *, unnest(range(CAST(n AS BIGINT))) AS epoch FROM times
+)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, epoch, n_tokens,
+       md5('17:' || CAST(epoch AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key
+FROM each
+"""
+)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
@@ -103,6 +194,7 @@ FROM base
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
+        "op5_hierarchical_budgets": op5_hierarchical_budgets,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_elias_fano_ids": op8_elias_fano_ids,
         "op9_virtual_slots": op9_virtual_slots,
@@ -112,5 +204,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_hierarchical_budgets": OP5_SQL,
         "op10_line_frequency": OP10_SQL,
     }
