@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import fingerprints, mixing, packing, quality_rules, sharding, token_output
+from tersa.llm import fingerprints, mixing, packing, quality_rules, sharding, substring_dedup, token_output
 from tersa.llm.common import documents
 
 
+def op2_lempel_ziv_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.factor(documents(spark, sf_dir), window=35)
+
+
 def op3_bloom_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
@@ -193,6 +197,7 @@ FROM base
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lempel_ziv_substrings": op2_lempel_ziv_substrings,
         "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
         "op5_hierarchical_budgets": op5_hierarchical_budgets,
         "op6_best_fit_packing": op6_best_fit_packing,
