@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import fingerprints, mixing, packing, quality_rules, sharding, substring_dedup, token_output
+from tersa.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, substring_dedup, token_output
 from tersa.llm.common import documents
 
 
@@ -114,6 +114,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096)
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_output.write_and_index(documents(spark, sf_dir))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -201,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
         "op5_hierarchical_budgets": op5_hierarchical_budgets,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_prefix_tree_join": op7_prefix_tree_join,
         "op8_elias_fano_ids": op8_elias_fano_ids,
         "op9_virtual_slots": op9_virtual_slots,
         "op10_line_frequency": op10_line_frequency,
