@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, substring_dedup, token_output
+from tersa.llm import fingerprints, jaccard_join, lm_scoring, mixing, packing, quality_rules, sharding, substring_dedup, token_output
 from tersa.llm.common import documents
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return lm_scoring.score(documents(spark, sf_dir), good)
+
+
 def op2_lempel_ziv_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.factor(documents(spark, sf_dir), window=35)
 
@@ -201,6 +206,7 @@ FROM base
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cross_entropy_difference": op1_cross_entropy_difference,
         "op2_lempel_ziv_substrings": op2_lempel_ziv_substrings,
         "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
         "op5_hierarchical_budgets": op5_hierarchical_budgets,
