@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import fingerprints, jaccard_join, lm_scoring, mixing, packing, quality_rules, sharding, substring_dedup, token_output
+from tersa.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, packing, quality_rules, sharding, substring_dedup, token_output
 from tersa.llm.common import documents
 
 
@@ -24,6 +24,11 @@ def op3_bloom_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
+def op4_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.decide(documents(spark, sf_dir))
+    return rows.select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 #: Target weights of the query and of the pipeline: the first domain half as much again, English triple.
 MIX_WEIGHTS = {("d0",): 3, ("d1",): 2, ("d2",): 2, ("d3",): 2, ("*", "en"): 3}
 
@@ -209,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_cross_entropy_difference": op1_cross_entropy_difference,
         "op2_lempel_ziv_substrings": op2_lempel_ziv_substrings,
         "op3_bloom_lookup_fingerprints": op3_bloom_lookup_fingerprints,
+        "op4_minhash_lines": op4_minhash_lines,
         "op5_hierarchical_budgets": op5_hierarchical_budgets,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_prefix_tree_join": op7_prefix_tree_join,
