@@ -1,13 +1,57 @@
-"""The corpus pipeline: each stage is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as
+the next one's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tersa.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
 from tersa.llm.common import documents, written
+from tersa.llm.queries import MIX_WEIGHTS
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are frequent in a host go; documents that fail the rules or are depleted go."""
+    return quality_rules.cleaned(docs, host="source")
+
+
+def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component stays; documents left without words go."""
+    return line_dedup.deduplicated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as come in, by the target weights; a document comes once for each epoch that takes it."""
+    chosen, _ = mixing.mix(docs, max_epochs=2, weights=MIX_WEIGHTS, seed=17)
+    return chosen.select("doc.*")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document in sequences of at most 4,096."""
+    return packing.pack(docs, capacity=4096)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("line_dedup", fuzzy_lines),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixture),
+    ("packing", sequences),
+]
 
+#: Tokenising has no SQL form; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
