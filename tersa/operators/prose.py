@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.functions.text import salience, sentences
-from tersa.operators.relevance import with_relevance
+from tersa.operators.relevance import let, with_relevance
 
 
 def omitted(n: Column) -> Column:
@@ -16,15 +16,17 @@ def omitted(n: Column) -> Column:
 def scored(blobs: DataFrame) -> DataFrame:
     """Adds sents and scores (arrays) to blobs (text, query)."""
     rows = with_relevance(blobs.withColumn("sents", sentences(F.col("text"))), "sents", "query", "_rel")
-    rows = rows.withColumn("_n", F.size("sents"))
 
-    def score(s: Column, i: Column) -> Column:
-        zero = F.lit(0.0)
-        lead = F.greatest(zero, 1.0 - i / 3.0) * 0.2
-        recency = F.greatest(zero, 1.0 - (F.col("_n") - 1 - i) / 3.0) * 0.2
-        return F.lit(0.6) * F.element_at("_rel", i + 1) + F.lit(0.35) * salience(s) + lead + recency
+    def scores(pairs: Column) -> Column:
+        def score(p: Column, i: Column) -> Column:
+            zero = F.lit(0.0)
+            lead = F.greatest(zero, 1.0 - i / 3.0) * 0.2
+            recency = F.greatest(zero, 1.0 - (F.size(pairs) - 1 - i) / 3.0) * 0.2
+            return F.lit(0.6) * p["_rel"] + F.lit(0.35) * salience(p["sents"]) + lead + recency
 
-    return rows.withColumn("scores", F.transform("sents", score)).drop("_rel", "_n")
+        return F.transform(pairs, score)
+
+    return rows.withColumn("scores", let(F.arrays_zip("sents", "_rel"), scores)).drop("_rel")
 
 
 def selected(blobs: DataFrame, ratio: float) -> DataFrame:
@@ -38,18 +40,21 @@ def selected(blobs: DataFrame, ratio: float) -> DataFrame:
     return rows.withColumn("kept", F.when(n <= 3, every).otherwise(best))
 
 
+def _rendered(c: Column) -> Column:
+    """Kept sentences with a note in the place of each gap; c: sents and kept."""
+    kept, sents = c["kept"], c["sents"]
+
+    def part(i: Column, j: Column) -> Column:
+        gap = i - F.when(j == 0, F.lit(-1)).otherwise(F.get(kept, j - 1)) - 1
+        return F.when(gap > 0, F.array(omitted(gap), F.get(sents, i))).otherwise(F.array(F.get(sents, i)))
+
+    tail = F.size(sents) - 1 - F.get(kept, F.size(kept) - 1)
+    rest = F.when(tail > 0, F.array(omitted(tail))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.flatten(F.transform(kept, part)), rest), "\n")
+
+
 def compress(blobs: DataFrame, ratio: float) -> DataFrame:
     """Adds compressed to blobs (text, query); the text itself where there are three sentences or fewer."""
     rows = selected(blobs, ratio)
-    n, k = F.size("sents"), F.size("kept")
-
-    def part(i: Column, j: Column) -> Column:
-        gap = i - F.when(j == 0, F.lit(-1)).otherwise(F.get("kept", j - 1)) - 1
-        own = F.element_at("sents", i + 1)
-        return F.when(gap > 0, F.array(omitted(gap), own)).otherwise(F.array(own))
-
-    tail = n - 1 - F.get("kept", k - 1)
-    parts = F.flatten(F.transform("kept", part))
-    whole = F.concat(parts, F.when(tail > 0, F.array(omitted(tail))).otherwise(F.array().cast("array<string>")))
-    text = F.when(n <= 3, F.col("text")).otherwise(F.array_join(whole, "\n"))
+    text = F.when(F.size("sents") <= 3, F.col("text")).otherwise(let(F.struct("sents", "kept"), _rendered))
     return rows.withColumn("compressed", text).drop("sents", "scores", "kept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +13,48 @@ from tersa.functions.text import stems
 K1, B, SQUASH, ID_BOOST, ID_LENGTH = 1.5, 0.75, 3.0, 0.35, 12
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, also where lambdas refer to it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_relevance(rows: DataFrame, items: str, query: str, out: str) -> DataFrame:
     """Adds ``out``: for each text of the array ``items`` its score from 0 to 1 against ``query``.
 
     Rounded to 12 digits, so that the order of summation cannot flip a tie. 0 without a query.
     """
-    docs, q, n, avg, idf = (f"_{out}_{x}" for x in ("docs", "q", "n", "avg", "idf"))
-    rows = rows.withColumn(docs, F.transform(items, stems)).withColumn(
-        q, F.array_sort(F.array_distinct(stems(F.coalesce(F.col(query), F.lit("")))))
-    )
-    total = F.aggregate(docs, F.lit(0).cast("long"), lambda a, d: a + F.size(d))
-    rows = rows.withColumn(n, F.size(docs).cast("double")).withColumn(avg, F.coalesce(F.nullif(total / F.col(n), F.lit(0.0)), F.lit(1.0)))
 
-    def weight(term: Column) -> Column:
-        df = F.size(F.filter(docs, lambda d: F.array_contains(d, term)))
-        return F.log(1 + (F.col(n) - df + 0.5) / (df + 0.5))
+    def weighted(c: Column) -> Column:
+        """The query's terms that occur, with their weights by document frequency."""
+
+        def weight(term: Column) -> Column:
+            df = F.size(F.filter(c["docs"], lambda d: F.array_contains(d, term)))
+            return F.log(1 + (c["n"] - df + 0.5) / (df + 0.5))
 
-    rows = rows.withColumn(idf, F.transform(q, lambda t: F.struct(t.alias("term"), weight(t).alias("idf"))))
+        return F.transform(c["q"], lambda t: F.struct(t.alias("term"), weight(t).alias("idf")))
 
-    def score(doc: Column) -> Column:
+    def score(c: Column, idf: Column, doc: Column) -> Column:
         def part(x: Column) -> Column:
             tf = F.size(F.filter(doc, lambda t: t == x["term"])).cast("double")
-            return x["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(doc) / F.col(avg)))
+            return x["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(doc) / c["mean"]))
+
+        def squashed(hits: Column) -> Column:
+            raw = F.aggregate(hits, F.lit(0.0), lambda a, x: a + part(x))
+            long_id = F.exists(hits, lambda x: (F.length(x["term"]) >= ID_LENGTH) | F.contains(x["term"], F.lit("-")))
+            plain = 1 - F.exp(-raw / SQUASH)
+            return F.round(F.when(long_id, F.least(F.lit(1.0), plain + ID_BOOST)).otherwise(plain), 12)
+
+        return let(F.filter(idf, lambda x: F.array_contains(doc, x["term"])), squashed)
+
+    def sized(c: Column) -> Column:
+        total = F.aggregate(c["docs"], F.lit(0).cast("long"), lambda a, d: a + F.size(d))
+        n = F.size(c["docs"]).cast("double")
+        mean = F.coalesce(F.nullif(total / n, F.lit(0.0)), F.lit(1.0))
+        return F.struct(c["docs"].alias("docs"), c["q"].alias("q"), n.alias("n"), mean.alias("mean"))
 
-        hits = F.filter(idf, lambda x: F.array_contains(doc, x["term"]))
-        raw = F.aggregate(hits, F.lit(0.0), lambda a, x: a + part(x))
-        long_id = F.exists(hits, lambda x: (F.length(x["term"]) >= ID_LENGTH) | F.contains(x["term"], F.lit("-")))
-        plain = 1 - F.exp(-raw / SQUASH)
-        return F.round(F.when(long_id, F.least(F.lit(1.0), plain + ID_BOOST)).otherwise(plain), 12)
+    def scores(c: Column) -> Column:
+        return let(weighted(c), lambda idf: F.transform(c["docs"], lambda d: score(c, idf, d)))
 
-    return rows.withColumn(out, F.transform(docs, score)).drop(docs, q, n, avg, idf)
+    asked = F.array_sort(F.array_distinct(stems(F.coalesce(F.col(query), F.lit("")))))
+    parts = F.struct(F.transform(items, stems).alias("docs"), asked.alias("q"))
+    return rows.withColumn(out, let(parts, lambda c: let(sized(c), scores)))
