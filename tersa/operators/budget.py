@@ -35,26 +35,27 @@ def compress_blobs(blobs: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.select("blob_id", "content_type", ref.alias("ref"), "lossy", text.alias("compressed"))
 
 
-def measured(messages: DataFrame, config: Config = Config()) -> DataFrame:
+def measured(messages: DataFrame, config: Config = Config(), query: str = "", able: str | None = None) -> DataFrame:
     """Adds size, before (of the conversation), protected, query (the last user turn) and candidate to
-    messages (conv_id, idx, role, content). One shuffle by conversation serves all."""
+    messages (conv_id, idx, role, content). One shuffle by conversation serves all. A given ``query`` stands for the
+    last user turn; ``able`` names a flag of the messages that may change."""
     conv = Window.partitionBy("conv_id")
     rows = messages.withColumn("size", token_estimate(F.col("content")))
     rows = rows.withColumn("before", F.sum("size").over(conv)).withColumn("_n", F.max("idx").over(conv) + 1)
     rows = rows.withColumn("protected", (F.col("role") == "system") | (F.col("idx") >= F.col("_n") - config.live_messages))
     last = F.max_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("idx"))).over(conv)
-    rows = rows.withColumn("query", F.coalesce(last, F.lit("")))
-    able = ~F.col("protected") & F.col("content").isNotNull() & (F.col("size") >= config.min_compress_tokens)
-    return rows.withColumn("candidate", able & (F.col("before") > config.target_tokens)).drop("_n")
+    rows = rows.withColumn("query", F.lit(query) if query else F.coalesce(last, F.lit("")))
+    free = (F.col(able) if able else F.lit(True)) & ~F.col("protected") & F.col("content").isNotNull() & (F.col("size") >= config.min_compress_tokens)
+    return rows.withColumn("candidate", free & (F.col("before") > config.target_tokens)).drop("_n")
 
 
-def compress_conversations(messages: DataFrame, config: Config = Config()) -> DataFrame:
+def compress_conversations(messages: DataFrame, config: Config = Config(), query: str = "", able: str | None = None) -> DataFrame:
     """conv_id, idx, role, content, applied, content_type, ref, saved, before, after.
 
     Candidates come largest first, then oldest; each is applied while the conversation is over its target, and only
     where it saves enough. What the ones before have saved is a running sum, so no loop is needed.
     """
-    rows = measured(messages, config)
+    rows = measured(messages, config, query, able)
     key = F.struct("conv_id", "idx")
     blobs = rows.where("candidate").select(key.cast("string").alias("blob_id"), F.col("content").alias("text"), "query")
     done = compress_blobs(blobs, config)
