@@ -144,10 +144,10 @@ def test_prefix_tree(sets, probe, percent):
 
 def brute_lines(rows, percent):
     """doc, place of lines that go."""
-    norm = lambda x: " ".join(WORD.findall(x.translate(LOWER)))
+    norm = lambda x: x.strip(" \t\x0b\x0c\r").lower()
     at = [(d, p, norm(x)) for d, t in rows for p, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     distinct = sorted({x for _, _, x in at})
-    starts = lambda x: {x[i : i + 9] for i in range(len(x)) if i == 0 or x[i - 1] == " "}
+    starts = lambda x: {x[m.start() : m.start() + 9] for m in WORD.finditer(x)}
     sets = [starts(x) for x in distinct]
     pairs = [(i, j) for i in range(len(distinct)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     roots = union(pairs, range(len(distinct)))
