@@ -75,7 +75,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = -(-n // (1 << 20)) << 20
         for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
