@@ -21,7 +21,7 @@ from tersa.llm.blocks import Words, each_block, in_blocks
 from tersa.llm.common import pick, written
 
 #: Words of the shared vocabulary. Word numbers start at 1; 0 is any other word; the last number begins a document.
-VOCABULARY = 60_000
+VOCABULARY = 30_000
 #: Bigrams seen fewer times in all back off in both models.
 LEAST_COUNT = 2
 #: Weight of the bigram estimate where its history was seen, and what each word is added to its count.
@@ -132,18 +132,19 @@ def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> DataFra
     """
     blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target))
     known = vocabulary(blocks, size)
-    asked = written(bigram_rows(blocks, known), "bigram-rows")
+    asked = bigram_rows(blocks, known)  # cheaper to make twice than to keep
     model = asked.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).where(F.expr("t + b") >= LEAST_COUNT)
     told = asked.select("key", "block").join(model, "key")
-    told = told.groupBy("block").agg(F.collect_list(F.struct("key", F.col("t").cast("int"), F.col("b").cast("int"))).alias("told"))
+    # Three lists of longs, filled in step, take half the room of a list of structs.
+    told = told.groupBy("block").agg(F.struct(*[F.collect_list(c).alias(c) for c in ("key", "t", "b")]).alias("told"))
 
     def rows(_: int, docs: pa.Table, told: pa.Scalar) -> pa.RecordBatch:
         words = Words(docs.column("text"), lower=True)
         keys = known.bigrams(words)
         value, place = np.unique(keys, return_inverse=True)
         pairs = np.zeros((2, len(value)))
-        if told.is_valid and len(told.values):
-            answer, *counts = (told.values.field(i).to_numpy() for i in range(3))
+        if told.is_valid:
+            answer, *counts = (told[c].values.to_numpy() for c in ("key", "t", "b"))
             at = np.searchsorted(value, answer)
             for m in (0, 1):
                 pairs[m, at] = counts[m]
