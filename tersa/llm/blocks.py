@@ -105,15 +105,21 @@ class Words:
         raw = np.full(len(data) + n + 1, 0x20, dtype=np.uint8)
         lengths = np.diff(ends)
         shift = np.repeat(np.arange(1, n + 1), lengths)
-        raw[np.arange(len(data)) + shift] = data
+        shift += np.arange(len(data))
+        raw[shift] = data
+        del shift
         if lower:
             raw = _LOWER[raw]
         in_word = ~_SPACE[raw]
         edge = np.flatnonzero(in_word[1:] != in_word[:-1]) + 1
         start, stop = edge[::2], edge[1::2]
         up, down = _powers(len(raw) + 1)
+        # In place: eight bytes for each byte of text, once.
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=sums[1:])
+        sums[1:] = raw
+        sums[1:] += _U(1)
+        sums[1:] *= up[: len(raw)]
+        np.cumsum(sums[1:], out=sums[1:])
         self.hash = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * _ROLL)
         self.n_docs = n
         bounds = ends[:-1] + np.arange(1, n + 1)
