@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tersa.llm.blocks import Words, each_block, in_blocks, list_of, rolling
 from tersa.llm.common import partitions, pick, written
-from tersa.llm.graph import components
+from tersa.llm.graph import across, components
 from tersa.llm.tokens import batches
 
 #: Shingles in the prefixes of more classes than this may go last in the order, at most so many of them: the bound on what is broadcast.
@@ -139,15 +139,24 @@ def owned(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("block").agg(F.collect_list("place").alias("places"))
 
 
+def _each_once(docs: pa.Table, size: int) -> list[tuple[int, np.ndarray]]:
+    """node and set of the documents of a block that have shingles, each set once."""
+    found: dict[int, np.ndarray] = {}
+    for s in shingle_sets(docs, size):
+        if len(s):
+            found.setdefault(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), s)
+    return list(found.items())
+
+
 def prefix_counts(blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """shingle, n: by block, shingles near the front of the sets, by hash alone."""
+    """shingle, n: by block, shingles near the front of its distinct sets, by hash alone."""
 
-    def rows(block: int, docs: pa.Table, places: pa.Scalar) -> pa.RecordBatch | None:
-        sets = shingle_sets(docs, size)
-        front = [s[: set_sizes(len(s), percent) * 3 // 2 + 1] for s in (sets[int(i)] for i in list_of(places))]
+    def rows(block: int, docs: pa.Table) -> pa.RecordBatch | None:
+        front = [s[: set_sizes(len(s), percent) * 3 // 2 + 1] for _, s in _each_once(docs, size)]
         if not front:
             return None
         value, n = np.unique(np.concatenate(front), return_counts=True)
+        # A shingle that is in one set of a block counts too, but few of these make it frequent.
         return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
     return each_block(blocks, rows, "shingle long, n long")
@@ -161,16 +170,14 @@ def frequent_shingles(blocks: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def prefixes(blocks: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """shingle, node, n, at: the prefix of each class in the global order."""
+    """shingle, node, n, at: the prefix of each distinct set of a block in the global order."""
 
-    def rows(block: int, docs: pa.Table, places: pa.Scalar) -> pa.RecordBatch | None:
-        sets = shingle_sets(docs, size)
+    def rows(block: int, docs: pa.Table) -> pa.RecordBatch | None:
         value, node, n, at = [], [], [], []
-        for i in list_of(places):
-            s = sets[int(i)]
+        for name, s in _each_once(docs, size):
             head = ordered(s, frequent)[: set_sizes(len(s), percent)]
             value.append(head)
-            node.append(np.full(len(head), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), dtype=np.int64))
+            node.append(np.full(len(head), name, dtype=np.int64))
             n.append(np.full(len(head), len(s), dtype=np.int32))
             at.append(np.arange(len(head), dtype=np.int32))
         if not value:
@@ -237,39 +244,54 @@ def linked(blocks: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     """node, root for the classes that are linked with another."""
     nodes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "place"), F.struct("block", "place")).alias("o"))
     nodes = written(nodes.select("node", "o.block", "o.place"), "classes")
-    held = blocks.select("block", "payload").join(owned(nodes), "block")
-    frequent = frequent_shingles(held, size, percent)
-    fronts = prefixes(held, size, percent, frequent)
-    hubs = fronts.groupBy("shingle").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).where("c > 1")
-    meets = written(fronts.join(hubs.drop("c"), "shingle"), "meets")
+    frequent = frequent_shingles(blocks, size, percent)
+    fronts = prefixes(blocks, size, percent, frequent)
+    hubs = fronts.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
+    shared = fronts.join(hubs.select("shingle", "hub"), "shingle")
+    # Copies in several blocks bring a set's prefix more than once.
+    meets = written(shared.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("n", "at", "hub")]), "meets")
 
     wanted = nodes.join(meets.select("node").distinct(), "node")
     sets = written(set_rows(blocks.select("block", "payload").join(owned(wanted), "block"), size), "sets")
 
-    star = meets.where((F.col("node") != F.col("hub.node")) & _near_size("n", "hub.n", percent))
-    star = star.groupBy("node", F.col("hub.node").alias("a")).agg(F.count("*").alias("c"))
+    star = meets.where("node <> hub").groupBy("node", F.col("hub").alias("a")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    widths = written(meets.groupBy(F.col("node").alias("a")).agg(F.first("n").alias("m")), "widths")
+    star = star.join(widths, "a").where(_near_size("n", "m", percent))
     star = star.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b"))
+    star = written(star, "pairs")
     edges = written(similar_pairs(star, sets, percent), "links")
 
-    roots = components(edges)
-    placed = meets.select("shingle", "node", "n", "at").join(roots, "node", "left")
-    placed = written(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = _placed(meets, edges)
+    near = across(placed.select("shingle", "node", "root"), "shingle", hubs=3).join(widths, "a")
+    near = near.join(widths.select(F.col("a").alias("b"), F.col("m").alias("n")), "b").where(_near_size("n", "m", percent))
+    near = written(near.select("a", "b").join(star, ["a", "b"], "left_anti"), "pairs")
+    edges = written(edges.unionByName(similar_pairs(near, sets, percent)), "links")
+    placed = _placed(meets, edges)
     mixed = placed.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = mixed.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1")
     among = placed.join(main.select("shingle", "main"), "shingle")
-    x = among.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root")])
-    y = among.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "root")])
-    rest = F.least("x_at", "y_at") + 1 + F.least(F.expr("x_n - x_at - 1"), F.expr("y_n - y_at - 1"))
-    left = x.join(y, "shingle").where(
-        (F.col("x_root") != F.col("y_root"))
-        & _near_size("x_n", "y_n", percent)
-        & (F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("x_n") + F.col("y_n")))
+    x = among.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root")])
+    y = among.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root")])
+    # Each shingle that two classes have in their prefixes brings the pair once. Of the two, all shingles that the prefix
+    # ending first shares with the other set are among these: the overlap is at most their number and what follows.
+    left = x.join(y.join(main.select("shingle", "main"), "shingle"), "shingle").where(
+        (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & _near_size("x_n", "y_n", percent)
     )
-    pairs = written(left.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+    named = left.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), "x_n", "y_n")
+    counted = named.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
+    after = F.ceil(F.lit(percent) * F.greatest("n", "m") / F.lit(100)) - 1
+    able = F.lit(100 + percent) * (F.col("c") + after) >= F.lit(percent) * (F.col("n") + F.col("m"))
+    pairs = written(counted.where(able).select("a", "b"), "pairs")
     more = written(similar_pairs(pairs, sets, percent), "links")
     return components(edges.unionByName(more))
 
 
+def _placed(meets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The shared prefixes with each class's root under the links so far."""
+    placed = meets.select("shingle", "node", "n", "at").join(components(edges), "node", "left")
+    return written(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+
+
 def classes(blocks: DataFrame, size: int, percent: int) -> DataFrame:
     """block, place, doc_id, n, component: the least doc_id that links reach; a document without shingles has its own."""
     rows = written(profiles(blocks, size), "profiles")
