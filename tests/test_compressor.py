@@ -100,7 +100,7 @@ def test_prose(spark):
 def test_code(spark):
     out = one(code.compress(blobs(spark, SOURCE, query="how does the cache get work")))
     assert "return cache.get(y)" in out and "b = a + 1" not in out and "... # 4 lines" in out
-    braces = "package a;\n" + "\n".join(f"public class A{i} {{\n        int x = 1;\n{chr(10).join(f"        int y{k} = call({k}, x);" for k in range(9))}\n}}" for i in range(9))
+    braces = "package a;\n" + "\n".join(f"public class A{i} {{\n        int x = 1;\n{chr(10).join(f"        x += call({k}, x, x + {k});" for k in range(9))}\n}}" for i in range(9))
     assert "lines elided" in one(code.compress(blobs(spark, braces)))
 
 
