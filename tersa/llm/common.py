@@ -30,15 +30,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tersa/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Shuffle files of a job that has written its table go at once, not when the driver next collects its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str, *spent: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost
-    executor costs a reread and not a recomputation."""
+    executor costs a reread and not a recomputation. ``spent`` are written tables that nothing after it reads."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    discard(*spent)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of written tables, and no others."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == "tersa":
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

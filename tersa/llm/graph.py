@@ -40,13 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
         if sums == seen:
             break
         seen = sums
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now)), "edges", now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def across(placed: DataFrame, group: str, hubs: int = 8) -> DataFrame:
-    """Pairs (a, b) that are likely links between components: in each group (placed: group, node, root) the members outside
+    """Pairs (a, b) that are likely links between components, and ``c``, in how many groups they came up: in each group (placed: group, node, root) the members outside
     its largest component, each with a few members of that one. However large a group is, it makes a
     few pairs a member, and the members to choose from are minima, not lists."""
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(hubs)]
@@ -54,4 +54,5 @@ def across(placed: DataFrame, group: str, hubs: int = 8) -> DataFrame:
     whole = F.struct(F.col("root").alias("root"), F.array(*[f"h{k}" for k in range(hubs)]).alias("hubs"))
     main = parts.groupBy(group).agg(F.count("*").alias("k"), F.max_by(whole, F.struct("n", "root")).alias("main")).where("k > 1")
     rest = placed.join(main.select(group, "main"), group).where("root <> main.root")
-    return rest.select(F.explode(F.array_distinct("main.hubs")).alias("a"), F.col("node").alias("b")).distinct()
+    pairs = rest.select(F.explode(F.array_distinct("main.hubs")).alias("a"), F.col("node").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import written
+from tersa.llm.common import discard, written
 from tersa.llm.graph import across, components
 
 SHINGLE = 9
@@ -79,15 +79,16 @@ def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = meets.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = written(similar(star, sets, percent), "line-links")
     placed = _placed(meets, links)
-    links = written(links.unionByName(similar(across(placed.withColumnRenamed("key", "node"), "band"), sets, percent)), "line-links")
+    links = written(links.unionByName(similar(across(placed.withColumnRenamed("key", "node"), "band").drop("c"), sets, percent)), "line-links", links, placed)
     placed = _placed(meets, links)
+    discard(meets)
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("band").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"))
     among = placed.join(main.where("k > 1").select("band", "main"), "band")
     x = among.where("root <> main").select("band", F.col("key").alias("x"), F.col("root").alias("x_root"))
     y = among.select("band", F.col("key").alias("y"), F.col("root").alias("y_root"))
     left = x.join(y, "band").where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = written(similar(left.distinct(), sets, percent), "line-links")
+    more = written(similar(left.distinct(), sets, percent), "line-links", placed, sets)
     return components(links.unionByName(more)).withColumnRenamed("node", "key")
 
 
