@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersa.llm.blocks import Words, each_block, in_blocks, list_of, rolling
-from tersa.llm.common import partitions, pick, written
+from tersa.llm.common import discard, partitions, pick, written
 from tersa.llm.graph import across, components
 from tersa.llm.tokens import batches
 
@@ -170,22 +170,21 @@ def frequent_shingles(blocks: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def prefixes(blocks: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """shingle, node, n, at: the prefix of each distinct set of a block in the global order."""
+    """shingle, node, n: the prefix of each distinct set of a block in the global order."""
 
     def rows(block: int, docs: pa.Table) -> pa.RecordBatch | None:
-        value, node, n, at = [], [], [], []
+        value, node, n = [], [], []
         for name, s in _each_once(docs, size):
             head = ordered(s, frequent)[: set_sizes(len(s), percent)]
             value.append(head)
             node.append(np.full(len(head), name, dtype=np.int64))
             n.append(np.full(len(head), len(s), dtype=np.int32))
-            at.append(np.arange(len(head), dtype=np.int32))
         if not value:
             return None
-        cols = [np.concatenate(value).view(np.int64), *map(np.concatenate, (node, n, at))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "node", "n", "at"])
+        cols = [np.concatenate(value).view(np.int64), *map(np.concatenate, (node, n))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "node", "n"])
 
-    return each_block(blocks, rows, "shingle long, node long, n int, at int")
+    return each_block(blocks, rows, "shingle long, node long, n int")
 
 
 def set_rows(blocks: DataFrame, size: int) -> DataFrame:
@@ -240,55 +239,64 @@ def _near_size(n: str, m: str, percent: int):
     return (F.lit(100) * F.least(n, m)) >= (F.lit(percent) * F.greatest(n, m))
 
 
+def _able(c, n: str, m: str, percent: int):
+    """Whether sets of ``n`` and ``m`` with ``c`` shingles of their prefixes in common can reach ``percent``: of the two, all shingles that
+    the prefix ending first shares with the other set are among these, so the overlap is at most their number and what follows."""
+    after = F.ceil(F.lit(percent) * F.greatest(n, m) / F.lit(100)) - 1
+    return _near_size(n, m, percent) & (F.lit(100 + percent) * (c + after) >= F.lit(percent) * (F.col(n) + F.col(m)))
+
+
 def linked(blocks: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """node, root for the classes that are linked with another."""
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "place"), F.struct("block", "place")).alias("o"))
-    nodes = written(nodes.select("node", "o.block", "o.place"), "classes")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "place"), F.struct("block", "place")).alias("o"), F.first("n").alias("n"))
+    nodes = written(nodes.select("node", "o.block", "o.place", F.col("n").cast("int").alias("n")), "classes")
     frequent = frequent_shingles(blocks, size, percent)
     fronts = prefixes(blocks, size, percent, frequent)
     hubs = fronts.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
     shared = fronts.join(hubs.select("shingle", "hub"), "shingle")
     # Copies in several blocks bring a set's prefix more than once.
-    meets = written(shared.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("n", "at", "hub")]), "meets")
+    meets = written(shared.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("n", "hub")]), "meets")
+    widths = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"))
 
-    wanted = nodes.join(meets.select("node").distinct(), "node")
-    sets = written(set_rows(blocks.select("block", "payload").join(owned(wanted), "block"), size), "sets")
+    def compared(pairs: DataFrame, *spent: DataFrame) -> DataFrame:
+        """The links among ``pairs``; only sets of classes in a pair are made."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = written(set_rows(blocks.select("block", "payload").join(owned(nodes.join(ends, "node")), "block"), size), "sets")
+        return written(similar_pairs(pairs, sets, percent), "links", sets, *spent)
 
+    # What these two rounds count is a part of what two prefixes share: a pair that they pass over meets again in the last.
     star = meets.where("node <> hub").groupBy("node", F.col("hub").alias("a")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    widths = written(meets.groupBy(F.col("node").alias("a")).agg(F.first("n").alias("m")), "widths")
-    star = star.join(widths, "a").where(_near_size("n", "m", percent))
-    star = star.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b"))
-    star = written(star, "pairs")
-    edges = written(similar_pairs(star, sets, percent), "links")
+    star = star.join(widths, "a").where(_able(2 * F.col("c"), "n", "m", percent))
+    star = written(star.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b")), "pairs")
+    edges = compared(star)
 
     placed = _placed(meets, edges)
     near = across(placed.select("shingle", "node", "root"), "shingle", hubs=3).join(widths, "a")
-    near = near.join(widths.select(F.col("a").alias("b"), F.col("m").alias("n")), "b").where(_near_size("n", "m", percent))
-    near = written(near.select("a", "b").join(star, ["a", "b"], "left_anti"), "pairs")
-    edges = written(edges.unionByName(similar_pairs(near, sets, percent)), "links")
+    near = near.join(widths.select(F.col("a").alias("b"), F.col("m").alias("n")), "b").where(_able(2 * F.col("c"), "n", "m", percent))
+    near = written(near.select("a", "b").join(star, ["a", "b"], "left_anti"), "pairs", placed, star)
+    more = compared(near, near)
+    edges = written(edges.unionByName(more), "links", edges, more)
+
     placed = _placed(meets, edges)
+    discard(meets)
     mixed = placed.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = mixed.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1")
     among = placed.join(main.select("shingle", "main"), "shingle")
     x = among.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root")])
-    y = among.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root")])
-    # Each shingle that two classes have in their prefixes brings the pair once. Of the two, all shingles that the prefix
-    # ending first shares with the other set are among these: the overlap is at most their number and what follows.
-    left = x.join(y.join(main.select("shingle", "main"), "shingle"), "shingle").where(
+    y = among.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root")])
+    # Each shingle that two classes have in their prefixes brings the pair once.
+    left = x.join(y, "shingle").where(
         (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & _near_size("x_n", "y_n", percent)
     )
     named = left.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), "x_n", "y_n")
     counted = named.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
-    after = F.ceil(F.lit(percent) * F.greatest("n", "m") / F.lit(100)) - 1
-    able = F.lit(100 + percent) * (F.col("c") + after) >= F.lit(percent) * (F.col("n") + F.col("m"))
-    pairs = written(counted.where(able).select("a", "b"), "pairs")
-    more = written(similar_pairs(pairs, sets, percent), "links")
-    return components(edges.unionByName(more))
+    pairs = written(counted.where(_able(F.col("c"), "n", "m", percent)).select("a", "b"), "pairs", placed)
+    return components(edges.unionByName(compared(pairs, pairs)))
 
 
 def _placed(meets: DataFrame, edges: DataFrame) -> DataFrame:
     """The shared prefixes with each class's root under the links so far."""
-    placed = meets.select("shingle", "node", "n", "at").join(components(edges), "node", "left")
+    placed = meets.select("shingle", "node", "n").join(components(edges), "node", "left")
     return written(placed.withColumn("root", F.coalesce("root", "node")), "placed")
 
 
