@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines are normalised (lower case, no white space at the ends) and shingled: the SHINGLE characters from
-the start of each word on. Distinct lines get ROWS x BANDS least hashes; lines that agree
+each character on; a shorter line is one shingle. Distinct lines get ROWS x BANDS least hashes; lines that agree
 in a band are compared, as sets of shingles, and those similar enough are linked. Distributed union-find gives
 components, and of all occurrences of a component's lines the first, by doc_id and place, stays.
 
@@ -22,8 +22,8 @@ SHINGLE = 9
 #: With a similarity of 0.8, one in 8 bands of 3 rows agrees for 997 of 1,000 pairs; of 0.1, for 8 of 1,000.
 BANDS, ROWS = 8, 3
 PERCENT = 80
-#: One match a word: what is captured looks ahead, past the word if that is short.
-_ANCHORED = r"(?s)(?=(\S.{0,%d}))\S+"
+#: One match a character: what is captured looks ahead.
+_EACH = r"(?s)(?=(.{%d}))."
 
 
 def normal(line: Column) -> Column:
@@ -31,7 +31,8 @@ def normal(line: Column) -> Column:
 
 
 def shingles(normalised: Column, size: int = SHINGLE) -> Column:
-    return F.regexp_extract_all(normalised, F.lit(_ANCHORED % (size - 1)), F.lit(1))
+    every = F.regexp_extract_all(normalised, F.lit(_EACH % size), F.lit(1))
+    return F.when(F.length(normalised) < size, F.array(normalised)).otherwise(every)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
