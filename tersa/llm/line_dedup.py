@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Lines are normalised (lower case, no white space at the ends) and shingled: the SHINGLE characters from
+Lines are normalised (lower case, white space runs to one space, none at the ends) and shingled: the SHINGLE characters from
 each character on; a shorter line is one shingle. Distinct lines get ROWS x BANDS least hashes; lines that agree
 in a band are compared, as sets of shingles, and those similar enough are linked. Distributed union-find gives
 components, and of all occurrences of a component's lines the first, by doc_id and place, stays.
@@ -24,10 +24,11 @@ BANDS, ROWS = 8, 3
 PERCENT = 80
 #: One match a character: what is captured looks ahead.
 _EACH = r"(?s)(?=(.{%d}))."
+_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\x0b\x0c\r")))
+    return F.lower(F.trim(F.regexp_replace(line, _SPACE, " ")))
 
 
 def shingles(normalised: Column, size: int = SHINGLE) -> Column:

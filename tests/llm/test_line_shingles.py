@@ -2,7 +2,7 @@ import random
 
 from tersa.llm import line_dedup
 
-from .test_dedup_and_scoring import union
+from .test_dedup_and_scoring import WORD, union
 
 
 def removed(docs_of, lines):
@@ -27,9 +27,14 @@ def test_long_tokens_that_differ_a_little_are_one(docs_of):
     assert removed(docs_of, [token, token[:-1] + "Z", token[::-1]]) == {1}
 
 
+def test_white_space_runs_are_one_space(docs_of):
+    line = "the same line of words in other white space"
+    assert removed(docs_of, [line, line.replace(" ", "  "), f"\t{line.upper()} ".replace(" ", " \t\x0b")]) == {1, 2}
+
+
 def every_pair(rows, percent):
     """doc, place of lines that go, by sets of all shingles."""
-    norm = lambda x: x.strip(" \t\x0b\x0c\r").lower()
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
     at = [(d, p, norm(x)) for d, t in rows for p, x in enumerate(t.split("\n")) if norm(x)]
     distinct = sorted({x for _, _, x in at})
     sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in distinct]
@@ -54,7 +59,7 @@ def test_lines_against_every_pair(docs_of):
             for _ in range(rng.choice([0, 1, 2])):
                 at = rng.randrange(len(x))
                 x = x[:at] + word() + x[at + 5 :]
-            lines.append(x)
+            lines.append(x.replace(" ", rng.choice([" ", "  ", "\t", " \r\x0b"])))
         rows.append((d, "\n".join(lines)))
     want, links = every_pair(rows, 80)
     got = {(r.doc, p) for r in line_dedup.decide(docs_of(rows)).collect() for p in r.removed}
