@@ -1,13 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models of one form, one of a target (documents labelled good), one of the background
-(all others), share one vocabulary, smoothing and pruning. A document's score is its mean loss a token under the
+(all others), share one vocabulary and smoothing. A document's score is its mean loss a token under the
 target model less that under the background model; the less, the more it reads like the target.
 
-Counts cover every word of every document. The vocabulary is the most frequent words, a number that is a
-parameter of the model and bounds what is broadcast; other words are one further symbol. Bigram counts grow
-with the corpus and are never gathered: each block of documents asks for the distinct
-bigrams that it holds, and scores its documents with the answers.
+Counts cover every word and every bigram of every document, and so grow with the corpus; none are gathered. Words are
+named by their hashes. Each block of documents asks for its distinct words and bigrams, and scores its documents
+with the answers. What no other block holds is not asked for: the block has its counts already.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.blocks import Words, each_block, in_blocks
+from tersa.llm.blocks import Words, each_block, in_blocks, member, mixed, signed, unsigned
 from tersa.llm.common import pick, written
 
-#: Words of the shared vocabulary. Word numbers start at 1; 0 is any other word; the last number begins a document.
-VOCABULARY = 30_000
-#: Bigrams seen fewer times in all back off in both models.
+#: What stands before the first word of a document, and, in a pruned model, for each word outside the vocabulary.
+START, OTHER = np.uint64(0x5374617274), np.uint64(0x4F74686572)
+#: In a pruned model, bigrams seen fewer times in all back off in both models.
 LEAST_COUNT = 2
 #: Weight of the bigram estimate where its history was seen, and what each word is added to its count.
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
@@ -55,100 +54,108 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Sorted word hashes; a word's number is its place plus 1. ``counts``: by number, a row a model."""
-
-    def __init__(self, top: list, totals: tuple[int, int], texts: tuple[int, int]):
-        top = sorted(((r.word % (1 << 64), r.target, r.background) for r in top), key=lambda r: r[0])
-        self.words = np.array([r[0] for r in top], dtype=np.uint64)
-        self.size = len(top)
-        self.counts = np.zeros((2, self.size + 2), dtype=np.int64)
-        for m in (0, 1):
-            self.counts[m, 1 : self.size + 1] = [r[m + 1] for r in top]
-            self.counts[m, 0] = totals[m] - self.counts[m].sum()
-            self.counts[m, self.size + 1] = texts[m]
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == self.size] = 0
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
-    def bigrams(self, words: Words) -> np.ndarray:
-        """For each word its bigram, history times 2**32 plus word."""
-        own = self.numbers(words.hash)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[words.first[:-1][words.count > 0]] = self.size + 1
-        return before << 32 | own
-
-    def unigram(self) -> np.ndarray:
-        """By model and number the smoothed share of a word; the symbol that begins documents has none."""
-        counts = self.counts[:, : self.size + 1]
-        return (counts + ADDED) / (counts.sum(axis=1, keepdims=True) + ADDED * (self.size + 1))
-
-    def losses(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Loss in nats of each bigram under both models; ``pairs``: its counts by model."""
-        history, word = keys >> 32, keys & 0xFFFFFFFF
-        seen, plain = self.counts[:, history], self.unigram()[:, word]
-        mixed = BIGRAM_WEIGHT * pairs / np.maximum(seen, 1) + (1 - BIGRAM_WEIGHT) * plain
-        return -np.log(np.where(seen > 0, mixed, plain))
+    """How words are read, and the totals: ``symbols`` that a word may be, ``tokens`` by model."""
 
+    def __init__(self, symbols: int, tokens: tuple[int, int], kept: np.ndarray | None = None):
+        self.symbols, self.tokens, self.kept = symbols, np.array(tokens, dtype=np.int64), kept
 
-def vocabulary(blocks: DataFrame, size: int) -> Vocabulary:
-    counts = written(word_counts(blocks), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-
-    def texts(_: int, docs: pa.Table) -> pa.RecordBatch:
-        words = Words(docs.column("text"), lower=True)
-        good, some = docs.column("is_target").to_numpy(), words.count > 0
-        return pa.RecordBatch.from_arrays([pa.array([int((good & some).sum())]), pa.array([int((~good & some).sum())])], ["t", "b"])
-
-    began = each_block(blocks, texts, "t long, b long").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    top = counts.orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(size)
-    return Vocabulary(top.collect(), tuple(total), tuple(began))
+    def read(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each word, and the one before it."""
+        own = words.hash if self.kept is None else np.where(member(words.hash, self.kept), words.hash, OTHER)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[words.first[:-1][words.count > 0]] = START
+        return own, before
+
+    def losses(self, pairs: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Loss in nats under both models, from the counts by model of bigrams, of their histories and of their words."""
+        plain = (counts + ADDED) / (self.tokens[:, None] + ADDED * self.symbols)
+        both = BIGRAM_WEIGHT * pairs / np.maximum(seen, 1) + (1 - BIGRAM_WEIGHT) * plain
+        return -np.log(np.where(seen > 0, both, plain))
+
+
+def vocabulary(blocks: DataFrame, size: int | None) -> Vocabulary:
+    """Of every word, or of the ``size`` most frequent ones; one further symbol is any other word."""
+    counts = word_counts(blocks)
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "background")]
+    if size is None:
+        n, *tokens = counts.agg(F.count("*"), *sums).first()
+        return Vocabulary(n + 1, tokens)
+    counts = written(counts, "word-counts")
+    top = counts.orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(size).collect()
+    return Vocabulary(len(top) + 1, counts.agg(*sums).first(), unsigned([r.word for r in top]))
+
+
+class Asked:
+    """The distinct symbols and bigrams of a block: ``key``, and ``counts`` of them in the block, a row a model."""
+
+    def __init__(self, docs: pa.Table, known: Vocabulary):
+        self.words = Words(docs.column("text"), lower=True)
+        good = docs.column("is_target").to_numpy()
+        own, before = known.read(self.words)
+        self.bigram, place = np.unique(mixed(mixed(before, 1) + own, 2), return_inverse=True)
+        n = len(self.bigram)
+        some = self.words.count > 0
+        symbol, at = np.unique(np.append(own, np.full(some.sum(), START)), return_inverse=True)
+        self.key = np.append(self.bigram, symbol)
+        place_of = np.append(place, n + at)
+        flags = good[self.words.doc]
+        flags = np.concatenate([flags, flags, good[some]])
+        self.counts = np.stack([np.bincount(place_of[flags == m], minlength=len(self.key)) for m in (True, False)])
+        self.place = place
+        # By bigram, where its word and its history are.
+        self.word, self.history = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.word[place] = n + at[: len(own)]
+        self.history[place] = n + np.searchsorted(symbol, before)
+
+    def answer(self, keys: np.ndarray, counts: list[np.ndarray]) -> None:
+        """Counts of the whole corpus in the place of the block's own."""
+        n = len(self.bigram)
+        for of, first in ((self.bigram, 0), (self.key[n:], n)):
+            held = member(keys, of)
+            at = first + np.searchsorted(of, keys[held])
+            for m in (0, 1):
+                self.counts[m, at] = counts[m][held]
 
 
-def bigram_rows(blocks: DataFrame, known: Vocabulary) -> DataFrame:
-    """key, block, target, background: the distinct bigrams of each block."""
+def asked_rows(blocks: DataFrame, known: Vocabulary) -> DataFrame:
+    """key, block, target, background: the distinct symbols and bigrams of each block."""
 
     def rows(block: int, docs: pa.Table) -> pa.RecordBatch:
-        words = Words(docs.column("text"), lower=True)
-        good = docs.column("is_target").to_numpy()[words.doc]
-        key, place = np.unique(known.bigrams(words), return_inverse=True)
-        cols = [np.bincount(place[good], minlength=len(key)).astype(np.int32), np.bincount(place[~good], minlength=len(key)).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), block)), *map(pa.array, cols)], ["key", "block", "target", "background"])
+        asked = Asked(docs, known)
+        cols = [pa.array(x.astype(np.int32)) for x in asked.counts]
+        return pa.RecordBatch.from_arrays([signed(asked.key), pa.array(np.full(len(asked.key), block)), *cols], ["key", "block", "target", "background"])
 
     return each_block(blocks, rows, "key long, block long, target int, background int")
 
 
-def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
     """OUT rows, one for each row of ``docs`` (doc_id, text); ``target`` has the doc_id of target documents.
 
     Words are what white space (ASCII) separates, A-Z in lower case. A null or empty text has no tokens
     and losses and difference 0. Without any target document that model is uniform over the vocabulary. A
     null id is background; rows that repeat count as often as they come. An empty table gives no rows.
-    Further columns are ignored. Word hashes have 64 bits.
+    Further columns are ignored. Hashes of words and bigrams have 64 bits. With ``size`` the model is pruned: so
+    many words, and bigrams seen LEAST_COUNT times.
     """
     blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target))
     known = vocabulary(blocks, size)
-    asked = bigram_rows(blocks, known)  # cheaper to make twice than to keep
-    model = asked.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).where(F.expr("t + b") >= LEAST_COUNT)
+    least = 0 if size is None else LEAST_COUNT
+    asked = asked_rows(blocks, known)  # cheaper to make twice than to keep
+    model = asked.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     told = asked.select("key", "block").join(model, "key")
     # Three lists of longs, filled in step, take half the room of a list of structs.
     told = told.groupBy("block").agg(F.struct(*[F.collect_list(c).alias(c) for c in ("key", "t", "b")]).alias("told"))
 
     def rows(_: int, docs: pa.Table, told: pa.Scalar) -> pa.RecordBatch:
-        words = Words(docs.column("text"), lower=True)
-        keys = known.bigrams(words)
-        value, place = np.unique(keys, return_inverse=True)
-        pairs = np.zeros((2, len(value)))
+        asked = Asked(docs, known)
         if told.is_valid:
-            answer, *counts = (told[c].values.to_numpy() for c in ("key", "t", "b"))
-            at = np.searchsorted(value, answer)
-            for m in (0, 1):
-                pairs[m, at] = counts[m]
-        loss = known.losses(value, pairs)
+            keys, *counts = (told[c].values.to_numpy() for c in ("key", "t", "b"))
+            asked.answer(keys.view(np.uint64), counts)
+        pairs = asked.counts[:, : len(asked.bigram)]
+        pairs = np.where(pairs.sum(axis=0) >= least, pairs, 0)
+        loss = known.losses(pairs, asked.counts[:, asked.history], asked.counts[:, asked.word])
+        words, place = asked.words, asked.place
         n = np.maximum(words.count, 1)
         mean = [np.bincount(words.doc, weights=loss[m][place], minlength=words.n_docs) / n for m in (0, 1)]
         cols = [docs.column("doc_id").combine_chunks(), pa.array(words.count), *map(pa.array, (*mean, mean[0] - mean[1]))]
