@@ -99,6 +99,15 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == version)
 
 
+def newest_map(spark: SparkSession, path: str) -> list[tuple]:
+    """The MAP_SCHEMA rows of the last version at ``path``, by slot; none where there is no map."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    version = spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
+    return sorted(tuple(r) for r in read_map(spark, path, version).collect()) if version else []
+
+
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Every row with its shard and its place there, gapless from 0.
 
@@ -118,15 +127,28 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str |
     """doc_id, size, text_crc32, shard, slot, vslot for every row of ``docs`` (doc_id, text).
 
     Shards have near-equal bytes. The slot map is stored as version 1 at ``map_path`` (by
-    default in the shared folder). An empty table gives no rows; repeated rows keep their
+    default in the shared folder). Where that holds a map, its last version is read and edited for as many more
+    shards as are asked for; what differs from it, in shards or in the rows of slots, is published as the next version. An empty table gives no rows; repeated rows keep their
     number and get places of their own; further columns are ignored.
     """
     spark = docs.sparkSession
     rows = written(slotted(docs, slots), "slotted")
     sizes = slot_sizes(rows)
     path = map_path or new_path(spark, "slot-map")
-    save_map(spark, map_rows(first_map(sizes, shards, slots), sizes, 1), path)
-    return placed(rows, read_map(spark, path, 1))
+    held = newest_map(spark, path)
+    version, slot_map = 1, None
+    if held:
+        version, slot_map = held[0][0], {r[1]: r[2] for r in held}
+        have = max(slot_map.values()) + 1
+        if len(slot_map) != slots or have > shards:
+            raise ValueError(f"the map at {path} has {len(slot_map)} slots and {have} shards")
+        for _ in range(shards - have):
+            slot_map = grown_map(slot_map, sizes)
+    made = map_rows(slot_map or first_map(sizes, shards, slots), sizes, version)
+    if made != held:
+        version += bool(held)
+        save_map(spark, [(version, *r[1:]) for r in made], path)
+    return placed(rows, read_map(spark, path, version))
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
