@@ -266,7 +266,7 @@ def session_stats(spark, d):
 
 
 def _stored(spark, d):
-    """Originals, stored one second apart by doc_id; copies share a reference."""
+    """Originals, stored one minute apart by doc_id; copies share a reference."""
     rows = blobs.table(spark, d, "documents")
     at = F.lit(NOW).cast("timestamp") - F.make_interval(secs=F.col("doc_id") * 60)
     return rows.select(T.content_ref(F.col("text")).alias("ref"), F.col("text").cast("binary").alias("payload"), at.alias("stored_at"))
