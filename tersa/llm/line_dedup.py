@@ -2,38 +2,67 @@
 
 Lines are normalised (lower case, white space runs to one space, none at the ends) and shingled: the SHINGLE characters from
 each character on; a shorter line is one shingle. Distinct lines get ROWS x BANDS least hashes; lines that agree
-in a band are compared, as sets of shingles, and those similar enough are linked. Distributed union-find gives
-components, and of all occurrences of a component's lines the first, by doc_id and place, stays.
+in a band are compared, as sets of 64-bit hashes of shingles, and those similar enough are linked. Distributed union-find
+gives components, and of all occurrences of a component's lines the first, by doc_id and place, stays.
 
 Only keys and hashes shuffle; texts of lines travel only for lines that share a band.
-A band that very many lines share is a star: each line is compared with the band's least line first, and only lines that
-this leaves in other components meet again.
+
+The lines of a band meet at its least one, the hub: a line goes to each of its hubs once, however many bands it shares with
+them. Each is compared with the hub first, and then with a few lines of the hub's largest component. Only lines that this
+leaves in different components meet again, in pages: a hub's lines by size class and hash, of at most PAGE shingles or, if longer, one line. Two pages make one row, whose lines a lambda
+compares, so no pair of lines is ever a row unless it is a link, and no page grows with the data.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.llm.common import discard, written
-from tersa.llm.graph import across, components
+from tersa.llm.graph import components
 
 SHINGLE = 9
 #: With a similarity of 0.8, one in 8 bands of 3 rows agrees for 997 of 1,000 pairs; of 0.1, for 8 of 1,000.
 BANDS, ROWS = 8, 3
 PERCENT = 80
-#: One match a character: what is captured looks ahead.
-_EACH = r"(?s)(?=(.{%d}))."
+#: Shingles of the lines of a page, each line with a surcharge, which bounds their number: 1,024 in 256 KB of hashes.
+PAGE, SURCHARGE = 32_768, 32
+#: 64-bit words of a set's parities, and lines of a hub's main component that each line outside it is compared with before pages.
+PARITIES, REPRESENTATIVES = 8, 3
+#: Lines that share a band, up to this many, are broadcast as 8-byte keys; beyond it they join by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Characters whose shingles are cut together: linear in a line's length, as places in a text are found by counting.
+CHUNK = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, _SPACE, " ")))
+    """Only lines with something to fold go through the pattern."""
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd |= line.contains(c)
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line)))
+
+
+def _chunks(normalised: Column, size: int) -> Column:
+    """Pieces of a line that overlap so that each of its shingles is in exactly one."""
+    pattern = r"(?s)(?=(.{%d,%d})).{1,%d}" % (size, CHUNK + size - 1, CHUNK)
+    return F.when(F.length(normalised) < size, F.array(normalised)).otherwise(F.regexp_extract_all(normalised, F.lit(pattern), F.lit(1)))
+
+
+def _places(chunk: Column, size: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(chunk) - (size - 1), F.lit(1)))
 
 
 def shingles(normalised: Column, size: int = SHINGLE) -> Column:
-    every = F.regexp_extract_all(normalised, F.lit(_EACH % size), F.lit(1))
-    return F.when(F.length(normalised) < size, F.array(normalised)).otherwise(every)
+    return F.flatten(F.transform(_chunks(normalised, size), lambda c: F.transform(_places(c, size), lambda i: F.substring(c, i, F.lit(size)))))
+
+
+def _shingle_hashes(normalised: Column, size: int = SHINGLE) -> Column:
+    hashed = lambda c: F.transform(_places(c, size), lambda i: F.xxhash64(F.substring(c, i, F.lit(size))))
+    return F.array_distinct(F.flatten(F.transform(_chunks(normalised, size), hashed)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -48,56 +77,122 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.select("doc", "same", "place", normal(F.col("raw")).alias("line")).where("line <> ''")
 
 
+def _permuted(row: int) -> Column:
+    """A hash ``h`` under the permutation of a row: its bits rotated, and some flipped. Rows of one band rotate
+    differently, so their least values are of other bits; rows that rotate alike differ in the first bits flipped."""
+    turn, flip = 16 * (row % 4), row // 4
+    h = F.col("h") if not turn else F.shiftleft("h", turn).bitwiseOR(F.shiftrightunsigned("h", 64 - turn))
+    mask = (flip << 61 | 0x0F1E2D3C4B5A6978 * (flip + 1) & (1 << 61) - 1) & (1 << 64) - 1
+    return h.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """key (hash of a line) and its bands; each shingle goes to least hashes before anything shuffles."""
-    each = lines.select(F.xxhash64("line").alias("key"), F.explode(shingles(F.col("line"))).alias("s"))
-    each = each.select("key", F.xxhash64("s").alias("h"))
-    least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    rows = each.groupBy("key").agg(*least)
+    pieces = lines.select(F.xxhash64("line").alias("key"), F.explode(_chunks(F.col("line"), SHINGLE)).alias("c"))
+    each = pieces.select("key", "c", F.explode(_places(F.col("c"), SHINGLE)).alias("i"))
+    each = each.select("key", F.xxhash64(F.substring("c", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    rows = each.groupBy("key").agg(*[F.min(_permuted(k)).alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return rows.select("key", F.explode(F.array(*bands)).alias("band"))
 
 
+def _alike(s: Column, t: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` reach ``percent`` in 100 of their union; their sizes are looked at first."""
+    common = F.size(F.array_intersect(s, t)).cast("long")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * common >= percent * (n + m))
+
+
+def _may_be_alike(x: Column, y: Column, percent: int) -> Column:
+    """False only for sets that differ in more hashes than they may: each bit in which their parities differ is one at least."""
+    bits = sum(F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(PARITIES))
+    return (100 + percent) * bits <= (100 - percent) * (x["n"] + y["n"])
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets of shingle hashes (key, s) reach ``percent`` in 100 of their union."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s_a")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("s").alias("s_b")), "b")
-    n, m = F.size("s_a"), F.size("s_b")
-    sized = both.withColumn("common", F.when(100 * F.least(n, m) >= percent * F.greatest(n, m), F.size(F.array_intersect("s_a", "s_b"))))
-    return sized.where(100 * F.col("common") >= percent * (n + m - F.col("common"))).select("a", "b")
+    """Of ``pairs`` (a, b) those whose sets (key, n, s) are alike."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), "b")
+    return both.where(_alike(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """key, root for lines that are linked with a different one."""
+def meetings(lines: DataFrame) -> DataFrame:
+    """hub, key: each line that shares a band once with the least line of each band it shares, hubs themselves too."""
     bands = signatures(lines)
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
-    meets = written(bands.join(shared.select("band", "hub"), "band"), "bands")
+    shared = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("_last")).where("hub <> _last")
+    return bands.join(shared.select("band", "hub"), "band").select("hub", "key").distinct()
+
+
+def line_sets(lines: DataFrame, meets: DataFrame) -> DataFrame:
+    """key, n, s (hashes of its shingles) of the lines that meet another."""
     near = meets.select("key").distinct()
+    near = F.broadcast(near) if near.count() <= BROADCAST_KEYS else near
     texts = lines.withColumn("key", F.xxhash64("line")).join(near, "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("line").alias("line"))
-    # 32 bits a shingle: two of one line that clash count as one, in both the sets that have them.
-    hashes = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s)))
-    sets = written(texts.select("key", hashes.alias("s")), "line-sets")
-    star = meets.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    return texts.select("key", _shingle_hashes(F.col("line")).alias("s")).select("key", F.size("s").cast("long").alias("n"), "s")
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """key, p0 ...: whether the hashes of a set that fall on a bit are an odd number, for 64 x PARITIES bits."""
+    each = sets.select("key", F.explode("s").alias("h"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(PARITIES - 1))
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    return each.groupBy("key").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)])
+
+
+def placed_lines(meets: DataFrame, links: DataFrame) -> DataFrame:
+    """hub, key, root, main (the component of most of the hub's lines) where a hub's lines are in several components."""
+    roots = components(links).withColumnRenamed("node", "key")
+    placed = written(meets.join(roots, "key", "left").select("hub", "key", F.coalesce("root", "key").alias("root")), "placed-lines")
+    parts = placed.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("hub").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).where("k > 1")
+    return placed.join(main.select("hub", "main"), "hub")
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line outside a hub's main component with some of that one, and with one other outside it."""
+    out = F.col("root") != F.col("main")
+    picked = [F.min_by("key", F.when(~out, F.xxhash64("key", F.lit(k)))).alias(f"k{k}") for k in range(REPRESENTATIVES)]
+    other = F.min_by("key", F.when(out, F.xxhash64("key"))).alias("other")
+    some = placed.groupBy("hub").agg(F.array(*picked, other).alias("a"))
+    pairs = placed.where(out).join(some, "hub").select(F.explode("a").alias("a"), F.col("key").alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
+def left_over(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between lines of one hub in different components: every such pair is compared."""
+    # Lines that can be alike are in one size class or in neighbouring ones.
+    width = math.log(100 / percent) * 1.0001
+    rows = placed.join(sets.select("key", "n"), "key")
+    rows = rows.select("hub", "key", "root", (F.col("root") != F.col("main")).alias("out"), "n", F.floor(F.log("n") / width).alias("class"))
+    group = ["hub", "out", "class"]
+    total = rows.groupBy(*group).agg(F.ceil(F.sum(F.col("n") + SURCHARGE) / PAGE).alias("pages"))
+    rows = rows.join(total, group).withColumn("page", F.pmod(F.xxhash64("key"), F.col("pages")))
+    member = F.struct("key", "root", "n", *[f"p{k}" for k in range(PARITIES)], "s")
+    pages = rows.drop("n").join(sets, "key").join(parities(sets), "key").groupBy(*group, "page").agg(F.collect_list(member).alias("lines"))
+    pages = written(pages, "line-pages")
+    x = pages.where("out").select("hub", F.col("class").alias("c"), F.col("page").alias("p"), F.col("lines").alias("own"))
+    near = (F.abs(F.col("class") - F.col("c")) <= 1) & (~F.col("out") | (F.col("class") > F.col("c")) | ((F.col("class") == F.col("c")) & (F.col("page") >= F.col("p"))))
+    both = x.join(pages, "hub").where(near)
+
+    def found(x: Column) -> Column:
+        alike = lambda y: (x["root"] != y["root"]) & _may_be_alike(x, y, percent) & _alike(x["s"], y["s"], x["n"], y["n"], percent)
+        return F.transform(F.filter("lines", alike), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+
+    links = both.select(F.explode(F.flatten(F.transform("own", found))).alias("l")).select("l.a", "l.b")
+    return written(links, "line-links", pages)
+
+
+def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, root for lines that are linked with a different one."""
+    meets = written(meetings(lines), "meets")
+    sets = written(line_sets(lines, meets), "line-sets")
+    star = meets.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
     links = written(similar(star, sets, percent), "line-links")
-    placed = _placed(meets, links)
-    links = written(links.unionByName(similar(across(placed.withColumnRenamed("key", "node"), "band").drop("c"), sets, percent)), "line-links", links, placed)
-    placed = _placed(meets, links)
-    discard(meets)
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    among = placed.join(main.where("k > 1").select("band", "main"), "band")
-    x = among.where("root <> main").select("band", F.col("key").alias("x"), F.col("root").alias("x_root"))
-    y = among.select("band", F.col("key").alias("y"), F.col("root").alias("y_root"))
-    left = x.join(y, "band").where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = written(similar(left.distinct(), sets, percent), "line-links", placed, sets)
-    return components(links.unionByName(more)).withColumnRenamed("node", "key")
-
-
-def _placed(meets: DataFrame, links: DataFrame) -> DataFrame:
-    """band, key, root under the links so far."""
-    placed = meets.select("band", "key").join(components(links).withColumnRenamed("node", "key"), "key", "left")
-    return written(placed.select("band", "key", F.coalesce("root", "key").alias("root")), "placed-lines")
+    more = similar(across(placed_lines(meets, links)), sets, percent)
+    links = written(links.unionByName(more), "line-links", links)
+    last = left_over(placed_lines(meets, links), sets, percent)
+    every = written(links.unionByName(last), "line-links", links, last, meets, sets)
+    return components(every).withColumnRenamed("node", "key")
 
 
 def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -125,13 +220,16 @@ def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without the lines that ``decide`` removes, all their columns; one that has no words left goes,
-    one that had none to begin with stays. ``n_chars``, where there is one, follows the text."""
+    one that had none to begin with stays. ``n_chars``, where there is one, follows the text. A null or empty text and a
+    null id stay as they are; rows equal in id and text lose the same lines and all stay; an empty table gives no rows."""
     gone = decide(docs, percent).where(F.size("removed") > 0).select(F.col("doc").alias("_d"), F.col("same").alias("_s"), F.col("removed").alias("_r"))
     names = docs.columns
     row = docs.select(F.struct(*names).alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_same"))
     row = row.join(gone, F.expr("_doc <=> _d AND _same = _s"), "left")
     split = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_r", i)), "\n")
+    # Of the places those that stay, by one pass over both lists; the split is bound once a row.
+    stay = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_r"))
+    kept = F.get(F.transform(F.array(split), lambda all_: F.array_join(F.transform(stay(all_), lambda i: F.get(all_, i)), "\n")), F.lit(0))
     row = row.withColumn("_text", F.when(F.col("_r").isNull(), F.col("row.text")).otherwise(kept))
     row = row.where(F.col("_r").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     fresh = {"text": F.col("_text")}

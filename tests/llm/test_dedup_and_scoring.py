@@ -143,12 +143,11 @@ def test_prefix_tree(sets, probe, percent):
 
 
 def brute_lines(rows, percent):
-    """doc, place of lines that go."""
-    norm = lambda x: x.strip(" \t\x0b\x0c\r").lower()
+    """doc, place of lines that go, by all pairs of sets of every shingle."""
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
     at = [(d, p, norm(x)) for d, t in rows for p, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     distinct = sorted({x for _, _, x in at})
-    starts = lambda x: {x[m.start() : m.start() + 9] for m in WORD.finditer(x)}
-    sets = [starts(x) for x in distinct]
+    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in distinct]
     pairs = [(i, j) for i in range(len(distinct)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     roots = union(pairs, range(len(distinct)))
     number = {x: roots[i] for i, x in enumerate(distinct)}
@@ -158,7 +157,9 @@ def brute_lines(rows, percent):
     return {(d, p) for d, p, x in at if first[number[x]] != (d, p)}, len(pairs)
 
 
-def test_lines(docs_of):
+@pytest.mark.parametrize("page", [line_dedup.PAGE, 400])
+def test_lines(docs_of, monkeypatch, page):
+    monkeypatch.setattr(line_dedup, "PAGE", page)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
     stock = [" ".join(word() for _ in range(rng.randrange(12, 40))) for _ in range(40)]

@@ -2,7 +2,7 @@ import random
 
 from tersa.llm import line_dedup
 
-from .test_dedup_and_scoring import WORD, union
+from .test_dedup_and_scoring import brute_lines
 
 
 def removed(docs_of, lines):
@@ -15,6 +15,23 @@ def test_characters_past_the_start_of_a_word_count(docs_of):
     assert removed(docs_of, lines) == set()
 
 
+def test_lines_with_a_common_start_stay(docs_of):
+    lines = ["https://example.com/cats", "https://example.com/dogs", "internationalisation", "internationality"]
+    lines += ["今天天气很好我们一起去公园散步吧", "今天天气很好但是我必须留在家里工作", "short"]
+    assert removed(docs_of, lines) == set()
+
+
+def test_a_group_of_near_copies_without_a_line_that_all_are_like(docs_of):
+    """A chain: each line is like the next one only, so the hub is like few, and pages find the other links."""
+    rng = random.Random(7)
+    line, lines = [rng.choice("abcdefghijklmnop") for _ in range(220)], []
+    for at in range(0, 200, 12):
+        line = [*line[:at], *(rng.choice("qrstuvwxyz") for _ in range(8)), *line[at + 8 :]]
+        lines.append("".join(line))
+    want, links = brute_lines(list(enumerate(lines)), 80)
+    assert removed(docs_of, lines) == {d for d, _ in want} and len(want) > 10 and links < len(lines) * 3
+
+
 def test_every_character_has_a_shingle(spark):
     lines = ["", "short", "ninechars", "one-token/without.spaces", "two words \U0001f600\U0001f600 and more"]
     frame = spark.createDataFrame([(x,) for x in lines], "line string")
@@ -32,21 +49,6 @@ def test_white_space_runs_are_one_space(docs_of):
     assert removed(docs_of, [line, line.replace(" ", "  "), f"\t{line.upper()} ".replace(" ", " \t\x0b")]) == {1, 2}
 
 
-def every_pair(rows, percent):
-    """doc, place of lines that go, by sets of all shingles."""
-    norm = lambda x: " ".join(WORD.findall(x)).lower()
-    at = [(d, p, norm(x)) for d, t in rows for p, x in enumerate(t.split("\n")) if norm(x)]
-    distinct = sorted({x for _, _, x in at})
-    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in distinct]
-    pairs = [(i, j) for i in range(len(distinct)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
-    roots = union(pairs, range(len(distinct)))
-    number = {x: roots[i] for i, x in enumerate(distinct)}
-    first = {}
-    for d, p, x in sorted(at):
-        first.setdefault(number[x], (d, p))
-    return {(d, p) for d, p, x in at if first[number[x]] != (d, p)}, len(pairs)
-
-
 def test_lines_against_every_pair(docs_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
@@ -61,7 +63,7 @@ def test_lines_against_every_pair(docs_of):
                 x = x[:at] + word() + x[at + 5 :]
             lines.append(x.replace(" ", rng.choice([" ", "  ", "\t", " \r\x0b"])))
         rows.append((d, "\n".join(lines)))
-    want, links = every_pair(rows, 80)
+    want, links = brute_lines(rows, 80)
     got = {(r.doc, p) for r in line_dedup.decide(docs_of(rows)).collect() for p in r.removed}
     assert links > 20 and 50 < len(want) < sum(t.count("\n") + 1 for _, t in rows)
     assert len(got ^ want) <= 0.01 * len(want)
