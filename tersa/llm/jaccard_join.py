@@ -4,18 +4,21 @@ Documents with equal sets are one class from the start. Every set has its shingl
 order: the most frequent ones last, otherwise by hash. Two sets that are similar enough share a shingle among
 the first few of each (prefix filter), so classes meet under those shingles only.
 
-Whether two sets meet the bound is decided in a prefix tree: the sets to compare with a
-probe are stored in a trie, walked once; paths that sets share have their overlap
-counted once, and a subtree is left as soon as what remains of the probe or of its longest set
-cannot reach the bound.
-
-A shingle may be in the prefixes of very many sets. They are not paired off: each class is first compared with
-one class of its shingles, the hub; only classes that this leaves in different components
-are then compared with each other, so nothing that could add a link is skipped.
+Classes that share a shingle meet at its least class, the hub: a class goes to each of its hubs once, however many shingles it
+shares with them. There they stand in a prefix tree, a trie of the ordered sets, that all probes walk together: what sets share
+from the start is counted once for all of them, and a probe leaves a subtree as soon as what remains of it, or of the
+subtree's longest set, cannot reach the bound. This is done twice: first with the shared shingles of the prefixes, which
+tells the classes that may have a partner, then with the whole sets of these. The walk is the join: no pair of classes is ever a row
+unless it is a link that joins two components of its tree.
+
+A tree has a bounded number of shingles, PAGE. Where a hub has more, its classes are compared with the hub first. Those of its
+component stand in trees of their own, by size class and hash, and are not compared with each other again; the others go as probes
+to each tree of a size that they can be similar to. So nothing that could add a link is skipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.blocks import Words, each_block, in_blocks, list_of, rolling
-from tersa.llm.common import discard, partitions, pick, written
-from tersa.llm.graph import across, components
+from tersa.llm.blocks import Words, each_block, in_blocks, list_of, member, rolling
+from tersa.llm.common import partitions, pick, written
+from tersa.llm.graph import components
 from tersa.llm.tokens import batches
 
 #: Shingles in the prefixes of more classes than this may go last in the order, at most so many of them: the bound on what is broadcast.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
-#: Sets that meet one probe in one task.
-GROUP = 2000
+#: Shingles in a tree; each set counts as so many more, which bounds the number of sets.
+PAGE, SURCHARGE = 2_000_000, 1_000
+#: Bytes of the table of which probe has which shingle, and of probes that wait for a walk.
+TABLE_BYTES, WAITING_BYTES = 32 << 20, 8 << 20
 
 
 def set_sizes(n: int, percent: int) -> int:
@@ -45,6 +50,19 @@ def need(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def least(n: np.ndarray, low: int, high: int, percent: int, fronts: bool) -> np.ndarray:
+    """The least overlap with which sets of ``n`` can be similar to one of ``low`` to ``high``.
+
+    With ``fronts`` the overlap is of prefixes. All shingles that the prefix ending first shares with the other set are
+    in both prefixes, so the whole overlap is at most that of the prefixes and what follows the one of the greater set.
+    """
+    low, high = np.maximum(low, -(-percent * n // 100)), np.minimum(high, 100 * n // percent)
+    least_of = lambda m: need(n, m, percent) - (-(-percent * np.maximum(n, m) // 100) - 1)
+    # Of prefixes, the bound rises up to n and falls from there on: it is least at an end.
+    found = np.minimum(least_of(low), least_of(high)) if fronts else need(n, low, percent)
+    return np.where(low > high, np.iinfo(np.int64).max, found)
+
+
 def shingle_sets(docs: pa.Table, size: int) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each document of a block."""
     words = Words(docs.column("text"), lower=True)
@@ -72,47 +90,126 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 class PrefixTree:
-    """A trie of ascending sets, as their sorted list: a node is a run of sets with a common beginning."""
+    """A trie of sets in the global order, as their sorted list: a node is a run of sets with a common beginning.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
+    ``sets`` are of distinct hashes in any order; ``sizes``, where they are only parts of sets, are the sizes of these."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None, frequent: np.ndarray | None = None):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets] if sizes is None else sizes, dtype=np.int64)
+        self.frequent = np.array([], dtype=np.uint64) if frequent is None else frequent
+
+    def _ranked(self, sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, int]:
+        """The sets as ascending places in the global order, and for each place its column, 0 if only one set has it."""
+        values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), dtype=np.int64)
+        rank[np.argsort(member(values, self.frequent), kind="stable")] = np.arange(len(values))
+        column = np.zeros(len(values), dtype=np.int64)
+        shared = np.sort(rank[count > 1])
+        column[shared] = np.arange(1, len(shared) + 1)
+        ends = np.cumsum([len(s) for s in sets])[:-1]
+        return [np.sort(x) for x in np.split(rank[place], ends)], column, len(shared) + 1
 
     def similar(self, probe: np.ndarray, percent: int) -> list[int]:
         """Numbers of the sets that reach ``percent`` with the probe."""
-        found, n = [], len(probe)
-        todo = [(0, len(self.sets), 0, 0, 0)] if self.sets else []
+        return [i for i, _ in self.matches(percent, [probe], [len(probe)])] if self.sets else []
+
+    def matches(
+        self, percent: int, probes: list[np.ndarray] | None = None, sizes: list[int] | None = None, fronts: bool = False
+    ) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of a set, and those of the probes (the tree's own sets, if there are none) that can be similar to it.
+        A shingle that only one set has counts for none, so a set alone does not match itself."""
+        stored = len(self.sets)
+        lists, column, width = self._ranked(self.sets if probes is None else [*self.sets, *probes])
+        own, n_own = (lists, self.sizes) if probes is None else (lists[stored:], np.array(sizes, dtype=np.int64))
+        lists = lists[:stored]
+        order = sorted(range(stored), key=[x.astype(">u4").tobytes() for x in lists].__getitem__)
+        lists, m = [lists[i] for i in order], self.sizes[order]
+        lengths = np.array([len(x) for x in lists])
+        step = max(1, TABLE_BYTES // width)
+        for at in range(0, len(own), step):
+            for i, hits in self._walk(lists, lengths, m, own[at : at + step], n_own[at : at + step], column, width, percent, fronts):
+                yield order[i], hits + at
+
+    @staticmethod
+    def _walk(lists, lengths, m, probes, n, column, width, percent, fronts) -> Iterator[tuple[int, np.ndarray]]:
+        each = np.array([len(x) for x in probes])
+        flat, row = np.concatenate(probes), np.repeat(np.arange(len(probes)), each)
+        has = np.zeros((len(probes), width), dtype=bool)
+        has[row, column[flat]] = True
+        has[:, 0] = False
+        top = len(column)
+        flat, start = flat + row * top, np.cumsum(each) - each
+        none = np.zeros(len(probes), dtype=np.int64)
+        todo = [(0, len(lists), 0, np.arange(len(probes)), none, none)]
         while todo:
-            lo, hi, depth, overlap, passed = todo.pop()
+            lo, hi, depth, who, overlap, passed = todo.pop()
             # The path that all sets of the run share is walked once for all of them.
-            first, last = self.sets[lo], self.sets[hi - 1]
-            top = min(len(first), len(last))
-            differ = np.flatnonzero(first[depth:top] != last[depth:top])
-            end = depth + int(differ[0]) if len(differ) else top
-            path = first[depth:end]
-            if len(path):
-                at = np.searchsorted(probe, path)
-                overlap += int((probe[np.minimum(at, n - 1)] == path).sum())
-                passed = int(np.searchsorted(probe, path[-1], side="right"))
-            sizes = self.sizes[lo:hi]
-            reach = overlap + np.minimum(n - passed, sizes - end)
-            if not (reach >= -(-percent * (n + sizes) // (100 + percent))).any():
+            first, last = lists[lo], lists[hi - 1]
+            shortest = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:shortest] != last[depth:shortest])
+            end = depth + int(differ[0]) if len(differ) else shortest
+            if end > depth:
+                path = first[depth:end]
+                overlap = overlap + has[np.ix_(who, column[path])].sum(axis=1)
+                passed = np.searchsorted(flat, who * top + path[-1], side="right") - start[who]
+            reach = overlap + np.minimum(each[who] - passed, int(lengths[lo:hi].max()) - end)
+            stay = reach >= least(n[who], int(m[lo:hi].min()), int(m[lo:hi].max()), percent, fronts)
+            if not stay.any():
                 continue
-            while lo < hi and len(self.sets[lo]) == end:
-                if overlap >= need(n, end, percent):
-                    found.append(self.order[lo])
+            who, overlap, passed = who[stay], overlap[stay], passed[stay]
+            while lo < hi and lengths[lo] == end:
+                hit = overlap >= least(n[who], int(m[lo]), int(m[lo]), percent, fronts)
+                if hit.any():
+                    yield lo, who[hit]
                 lo += 1
             while lo < hi:
-                value, stop = self.sets[lo][end], lo + 1
-                step = 1
-                while stop < hi and self.sets[min(stop + step, hi) - 1][end] == value:
-                    stop, step = min(stop + step, hi), step * 2
-                while stop < hi and self.sets[stop][end] == value:
+                value, stop, stride = lists[lo][end], lo + 1, 1
+                while stop < hi and lists[min(stop + stride, hi) - 1][end] == value:
+                    stop, stride = min(stop + stride, hi), stride * 2
+                while stop < hi and lists[stop][end] == value:
                     stop += 1
-                todo.append((lo, stop, end, overlap, passed))
+                todo.append((lo, stop, end, who, overlap, passed))
                 lo = stop
-        return found
+
+
+class Page:
+    """The classes of one tree: ``names``, their tree, and ``label``, the component of each under the links found so far."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray], sizes: list[int], percent: int, fronts: bool, frequent: np.ndarray, apart: bool):
+        self.names, self.percent, self.fronts = np.array(names, dtype=np.int64), percent, fronts
+        self.tree = PrefixTree(sets, sizes, frequent)
+        self.label = np.arange(len(names)) if apart else np.zeros(len(names), dtype=np.int64)
+        self.apart = apart
+
+    def inside(self) -> np.ndarray:
+        """Pairs of names within the tree: with prefixes, each class that may have a partner, with itself; else links
+        between components."""
+        out = []
+        able = np.zeros(len(self.names), dtype=bool)
+        for i, hits in self.tree.matches(self.percent, fronts=self.fronts) if self.apart else ():
+            hits = hits[hits != i]
+            if self.fronts:
+                able[hits] = True
+                able[i] |= len(hits) > 0
+                continue
+            other, one = np.unique(self.label[hits], return_index=True)
+            for label, j in zip(other.tolist(), hits[one].tolist(), strict=True):
+                if label != self.label[i]:
+                    out.append((self.names[i], self.names[j]))
+                    self.label[self.label == label] = self.label[i]
+        return np.array(out if not self.fronts else [(x, x) for x in self.names[able]], dtype=np.int64).reshape(-1, 2)
+
+    def against(self, names: list[int], probes: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+        """The same between probes and the tree."""
+        out, seen = set(), set()
+        for i, hits in self.tree.matches(self.percent, probes, sizes, self.fronts):
+            for j in hits.tolist():
+                if self.fronts:
+                    out |= {(self.names[i], self.names[i]), (names[j], names[j])}
+                elif (j, self.label[i]) not in seen:
+                    seen.add((j, self.label[i]))
+                    out.add((self.names[i], names[j]))
+        return np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
 
 
 def profiles(blocks: DataFrame, size: int) -> DataFrame:
@@ -187,117 +284,129 @@ def prefixes(blocks: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     return each_block(blocks, rows, "shingle long, node long, n int")
 
 
-def set_rows(blocks: DataFrame, size: int) -> DataFrame:
-    """node, members (the set, as bytes) of the classes whose places are given."""
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+    flat = np.concatenate([*sets, np.array([], dtype=np.uint64)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def set_rows(blocks: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, members (the set's hashes) of ``nodes`` (node, block, place), as a written table."""
 
     def rows(block: int, docs: pa.Table, places: pa.Scalar) -> pa.RecordBatch | None:
         sets = shingle_sets(docs, size)
         use = [sets[int(i)] for i in list_of(places)]
         nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in use]
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in use], pa.binary())], ["node", "members"])
-
-    return each_block(blocks, rows, "node long, members binary")
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(use)], ["node", "members"])
 
+    asked = blocks.select("block", "payload").join(owned(nodes), "block")
+    return written(each_block(asked, rows, "node long, members array<long>"), "sets")
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose sets are similar enough. For each ``a`` the ``b`` stand in prefix trees of
-    at most GROUP sets; a probe with more of them has several trees, in several tasks."""
-    n = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    split = F.ceil(F.col("_n") / GROUP)
-    dealt = pairs.join(n, "a").withColumn("part", F.pmod(F.xxhash64("b"), split))
-    probes = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("b"), F.lit(0).alias("kind"))
-    rows = dealt.select("a", "part", "b", F.lit(1).alias("kind")).unionByName(probes)
-    rows = rows.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "kind", "b", "members")
 
-    def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, names, members, size = None, np.array([], dtype=np.uint64), [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            good = PrefixTree(members).similar(probe, percent)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.int64()), pa.array([names[i] for i in good], pa.int64())], ["a", "b"])
+def _members(column: pa.Array) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-        for batch in batches(rows):
-            for a, part, kind, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if names and ((a, part) != key or size > 32 << 20):
-                    yield flush()
-                    names, members, size = [], [], 0
-                key, found = (a, part), np.frombuffer(raw, dtype=np.uint64)
-                if kind == 0:
-                    probe = found
-                else:
-                    names.append(b)
-                    members.append(found)
-                    size += len(raw)
-        if names:
-            yield flush()
 
-    ready = rows.repartition(partitions(rows.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind")
-    return ready.mapInArrow(walk, "a long, b long")
+KEY = ("hub", "out", "class", "page")
 
 
-def _near_size(n: str, m: str, percent: int):
-    return (F.lit(100) * F.least(n, m)) >= (F.lit(percent) * F.greatest(n, m))
+def walked(rows: DataFrame, percent: int, fronts: bool, frequent: np.ndarray) -> DataFrame:
+    """a, b from the rows of trees (KEY, kind, node, n, members): kind 0 stands in the tree, kind 1 is a probe."""
 
-
-def _able(c, n: str, m: str, percent: int):
-    """Whether sets of ``n`` and ``m`` with ``c`` shingles of their prefixes in common can reach ``percent``: of the two, all shingles that
-    the prefix ending first shares with the other set are among these, so the overlap is at most their number and what follows."""
-    after = F.ceil(F.lit(percent) * F.greatest(n, m) / F.lit(100)) - 1
-    return _near_size(n, m, percent) & (F.lit(100 + percent) * (c + after) >= F.lit(percent) * (F.col(n) + F.col(m)))
+    def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, page, held, waiting = None, None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal page, held, waiting
+            if not held:
+                return
+            names, sizes, sets = (list(x) for x in zip(*held, strict=True))
+            held, waiting = [], 0
+            if page is None:
+                page = Page(names, sets, sizes, percent, fronts, frequent, bool(key[1]))
+                found = page.inside()
+            else:
+                found = page.against(names, sets, sizes)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches(rows, 500):
+            *names, kinds, nodes, sizes = (c.to_pylist() for c in batch.columns[:-1])
+            sets = _members(batch.column(batch.num_columns - 1))
+            for *at, kind, node, n, s in zip(*names, kinds, nodes, sizes, sets, strict=True):
+                if at != key or (kind and (page is None or waiting > WAITING_BYTES)):
+                    yield from flush()
+                    key, page = at, page if at == key else None
+                held.append((node, n, s.copy()))
+                waiting += kind * s.nbytes
+        yield from flush()
+
+    dealt = rows.select(*KEY, "kind", "node", "n", "members")
+    dealt = dealt.repartition(partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY, "kind", "node")
+    return dealt.mapInArrow(walk, "a long, b long")
+
+
+def dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of trees for classes at their hubs (KEY, big, node, n): each class in its tree, and, where a hub has several, each class
+    outside the hub's component as a probe at every other tree that holds sets of its size or near it."""
+    stored = rows.select(*KEY, F.lit(0).alias("kind"), "node", "n")
+    pages = rows.where("big").select(*KEY).distinct()
+    x = rows.where("big AND out").select("hub", F.col("class").alias("c"), F.col("page").alias("p"), "node", "n")
+    near = (F.abs(F.col("class") - F.col("c")) <= 1) & (~F.col("out") | (F.col("class") > F.col("c")) | ((F.col("class") == F.col("c")) & (F.col("page") > F.col("p"))))
+    probes = x.join(pages, "hub").where(near).select(*KEY, F.lit(1).alias("kind"), "node", "n")
+    return stored.unionByName(probes).join(sets, "node")
+
+
+def with_hub(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between a hub and its classes, for hubs with more than a tree holds. A hub's rows are split over tasks."""
+    asked = rows.where("big").select("hub", "node", "n")
+    part = F.pmod(F.xxhash64("node"), F.lit(partitions(rows.sparkSession)))
+    probes = asked.where("hub <> node").select("hub", F.lit(False).alias("out"), F.lit(0).cast("long").alias("class"), part.alias("page"), F.lit(1).alias("kind"), "node", "n")
+    tree = probes.select(*KEY).distinct().withColumn("kind", F.lit(0)).withColumn("node", F.col("hub"))
+    tree = tree.join(nodes.select("node", "n"), "node")
+    sets = set_rows(blocks, nodes.join(asked.select("node").distinct(), "node"), size)
+    ready = tree.select(*probes.columns).unionByName(probes).join(sets, "node")
+    return written(walked(ready, percent, False, np.array([], dtype=np.uint64)), "links", sets)
 
 
 def linked(blocks: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """node, root for the classes that are linked with another."""
     nodes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "place"), F.struct("block", "place")).alias("o"), F.first("n").alias("n"))
-    nodes = written(nodes.select("node", "o.block", "o.place", F.col("n").cast("int").alias("n")), "classes")
+    nodes = written(nodes.select("node", "o.block", "o.place", "n"), "classes")
     frequent = frequent_shingles(blocks, size, percent)
     fronts = prefixes(blocks, size, percent, frequent)
     hubs = fronts.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
-    shared = fronts.join(hubs.select("shingle", "hub"), "shingle")
     # Copies in several blocks bring a set's prefix more than once.
-    meets = written(shared.groupBy("shingle", "node").agg(*[F.first(c).alias(c) for c in ("n", "hub")]), "meets")
-    widths = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"))
-
-    def compared(pairs: DataFrame, *spent: DataFrame) -> DataFrame:
-        """The links among ``pairs``; only sets of classes in a pair are made."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(set_rows(blocks.select("block", "payload").join(owned(nodes.join(ends, "node")), "block"), size), "sets")
-        return written(similar_pairs(pairs, sets, percent), "links", sets, *spent)
-
-    # What these two rounds count is a part of what two prefixes share: a pair that they pass over meets again in the last.
-    star = meets.where("node <> hub").groupBy("node", F.col("hub").alias("a")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    star = star.join(widths, "a").where(_able(2 * F.col("c"), "n", "m", percent))
-    star = written(star.groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    edges = compared(star)
-
-    placed = _placed(meets, edges)
-    near = across(placed.select("shingle", "node", "root"), "shingle", hubs=3).join(widths, "a")
-    near = near.join(widths.select(F.col("a").alias("b"), F.col("m").alias("n")), "b").where(_able(2 * F.col("c"), "n", "m", percent))
-    near = written(near.select("a", "b").join(star, ["a", "b"], "left_anti"), "pairs", placed, star)
-    more = compared(near, near)
-    edges = written(edges.unionByName(more), "links", edges, more)
-
-    placed = _placed(meets, edges)
-    discard(meets)
-    mixed = placed.groupBy("shingle", "root").agg(F.count("*").alias("c"))
-    main = mixed.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1")
-    among = placed.join(main.select("shingle", "main"), "shingle")
-    x = among.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root")])
-    y = among.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root")])
-    # Each shingle that two classes have in their prefixes brings the pair once.
-    left = x.join(y, "shingle").where(
-        (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))) & _near_size("x_n", "y_n", percent)
-    )
-    named = left.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), "x_n", "y_n")
-    counted = named.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x_n").alias("n"), F.first("y_n").alias("m"))
-    pairs = written(counted.where(_able(F.col("c"), "n", "m", percent)).select("a", "b"), "pairs", placed)
-    return components(edges.unionByName(compared(pairs, pairs)))
-
-
-def _placed(meets: DataFrame, edges: DataFrame) -> DataFrame:
-    """The shared prefixes with each class's root under the links so far."""
-    placed = meets.select("shingle", "node", "n").join(components(edges), "node", "left")
-    return written(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+    shared = fronts.join(hubs.select("shingle", "hub"), "shingle").groupBy("node")
+    shared = shared.agg(F.first("n").cast("long").alias("n"), F.collect_set("shingle").alias("members"), F.collect_set("hub").alias("hubs"))
+    shared = written(shared, "fronts")
+
+    at = shared.select(F.explode("hubs").alias("hub"), "node", "n")
+    heavy = at.groupBy("hub").agg(F.sum(F.col("n") + SURCHARGE).alias("w")).withColumn("big", F.col("w") > PAGE)
+    at = written(at.join(heavy.select("hub", "big"), "hub"), "at-hubs")
+    first = None
+    placed = at.withColumn("out", F.lit(True))
+    if not at.where("big").isEmpty():
+        first = with_hub(at, nodes, blocks, size, percent)
+        of_hub = first.select("a", "b").withColumn("linked", F.lit(True)).distinct()
+        # A class is of the hub's component if it is like the hub itself.
+        placed = at.join(of_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), "linked"), ["hub", "node"], "left")
+        placed = placed.withColumn("out", ~F.col("big") | (F.col("linked").isNull() & (F.col("hub") != F.col("node")))).drop("linked")
+    # Sets that can be similar are in one size class or in neighbouring ones.
+    width = math.log(100 / percent) * 1.0001
+    placed = placed.withColumn("class", F.when(F.col("big"), F.floor(F.log("n") / width)).otherwise(0).cast("long"))
+    group = ["hub", "out", "class"]
+    weights = placed.groupBy(*group).agg(F.ceil(F.sum(F.col("n") + SURCHARGE) / PAGE).alias("pages"))
+    placed = placed.join(weights, group).withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")))
+    placed = written(placed.select(*KEY, "big", "node", "n"), "placed", at)
+
+    able = walked(dealt(placed, shared.select("node", "members")), percent, True, frequent)
+    able = written(able.select(F.col("a").alias("node")).distinct(), "able", shared)
+    sets = set_rows(blocks, nodes.join(able, "node"), size)
+    last = walked(dealt(placed.join(able, "node", "left_semi"), sets), percent, False, frequent)
+    last = last if first is None else last.unionByName(first.select("a", "b"))
+    return components(written(last, "links", placed, able, sets, nodes))
 
 
 def classes(blocks: DataFrame, size: int, percent: int) -> DataFrame:

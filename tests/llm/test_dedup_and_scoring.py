@@ -113,10 +113,10 @@ def jaccard_classes(rows, size, percent):
     return {d: (len(sets[d]), roots[d]) for d in ids}
 
 
-@pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 64), (2, 60, 3), (5, 80, 64)])
-def test_jaccard_join(docs_of, texts, monkeypatch, size, percent, frequent):
+@pytest.mark.parametrize(("size", "percent", "frequent", "page"), [(4, 85, 64, 3500), (2, 60, 3, 3500), (2, 60, 3, 40_000), (5, 80, 64, jaccard_join.PAGE)])
+def test_jaccard_join(docs_of, texts, monkeypatch, size, percent, frequent, page):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "PAGE", page)
     rows = [*texts, (9001, None), (9002, ""), (9003, "one two"), (9004, "ONE  two"), (9005, "one two three"), (-4, texts[5][1])]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(rows, extra=("node", "n", "root")), size, percent).collect()}
     want = jaccard_classes(rows, size, percent)
@@ -142,6 +142,22 @@ def test_prefix_tree(sets, probe, percent):
     assert sorted(found) == [i for i, s in enumerate(sets) if 100 * len(s & probe) >= percent * len(s | probe)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(1, 40), min_size=1), min_size=1, max_size=25), st.sampled_from([50, 80, 85]), st.sets(st.integers(1, 40)))
+def test_prefix_trees_walked_by_many(sets, percent, late):
+    array = lambda s: np.array(sorted(s), dtype=np.uint64)
+    alike = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and alike(a, b)}
+    tree = jaccard_join.PrefixTree([array(s) for s in sets], None, array(late))
+    assert {(i, j) for i, hits in tree.matches(percent) for j in hits.tolist() if i != j} == want
+    # Prefixes let every such pair through.
+    order = sorted(range(1, 41), key=lambda x: (x in late, x))
+    heads = [array(sorted(s, key=order.index)[: jaccard_join.set_sizes(len(s), percent)]) for s in sets]
+    tree = jaccard_join.PrefixTree(heads, [len(s) for s in sets], array(late))
+    found = {(i, j) for i, hits in tree.matches(percent, fronts=True) for j in hits.tolist()}
+    assert want <= found and all(percent * max(len(sets[i]), len(sets[j])) <= 100 * min(len(sets[i]), len(sets[j])) for i, j in found)
+
+
 def brute_lines(rows, percent):
     """doc, place of lines that go, by all pairs of sets of every shingle."""
     norm = lambda x: " ".join(WORD.findall(x)).lower()
