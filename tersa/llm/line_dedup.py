@@ -9,13 +9,15 @@ Only keys and hashes shuffle; texts of lines travel only for lines that share a
 
 The lines of a band meet at its least one, the hub: a line goes to each of its hubs once, however many bands it shares with
 them. Each is compared with the hub first, and then with a few lines of the hub's largest component. Only lines that this
-leaves in different components meet again, in pages: a hub's lines by size class and hash, of at most PAGE shingles or, if longer, one line. Two pages make one row, whose lines a lambda
-compares, so no pair of lines is ever a row unless it is a link, and no page grows with the data.
+leaves in different components meet again, in pages: a hub's lines by size class and hash, of a bounded number. Two pages make
+one row, in which a lambda looks at every pair by a bound on the difference of the two sets (their parities), so that a pair of
+lines becomes a row only if the bound allows it to be a link. Every pair of rows is then decided by the shingles themselves.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +26,20 @@ from tersa.llm.common import discard, written
 from tersa.llm.graph import components
 
 SHINGLE = 9
-#: With a similarity of 0.8, one in 8 bands of 3 rows agrees for 997 of 1,000 pairs; of 0.1, for 8 of 1,000.
-BANDS, ROWS = 8, 3
+#: Least hashes of a line, and the triples of them that are its bands: the lines of the affine plane of order 3, as (row, column) in a
+#: square of 9. Any five of the nine hashes hold a triple, so of pairs with a similarity of 0.8 the bands find 99 in 100.
+ROWS = 9
+BANDS = [
+    (0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8),
+    (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6),
+]
 PERCENT = 80
-#: Shingles of the lines of a page, each line with a surcharge, which bounds their number: 1,024 in 256 KB of hashes.
-PAGE, SURCHARGE = 32_768, 32
+#: Shingles of the lines of a page, each line with a surcharge, which bounds their number.
+PAGE, SURCHARGE = 262_144, 256
 #: 64-bit words of a set's parities, and lines of a hub's main component that each line outside it is compared with before pages.
-PARITIES, REPRESENTATIVES = 8, 3
+PARITIES, REPRESENTATIVES = 16, 3
 #: Lines that share a band, up to this many, are broadcast as 8-byte keys; beyond it they join by shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Characters whose shingles are cut together: linear in a line's length, as places in a text are found by counting.
-CHUNK = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -46,23 +51,25 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line)))
 
 
-def _chunks(normalised: Column, size: int) -> Column:
-    """Pieces of a line that overlap so that each of its shingles is in exactly one."""
-    pattern = r"(?s)(?=(.{%d,%d})).{1,%d}" % (size, CHUNK + size - 1, CHUNK)
-    return F.when(F.length(normalised) < size, F.array(normalised)).otherwise(F.regexp_extract_all(normalised, F.lit(pattern), F.lit(1)))
+def _spelled(normalised: Column) -> Column:
+    """Two bytes a character (four outside the basic plane), so that any place in a long line is found at once."""
+    return F.encode(normalised, "UTF-16BE")
 
 
-def _places(chunk: Column, size: int) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(chunk) - (size - 1), F.lit(1)))
+def _places(spelled: Column, size: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(spelled) - (2 * size - 1), F.lit(1)), F.lit(2))
 
 
 def shingles(normalised: Column, size: int = SHINGLE) -> Column:
-    return F.flatten(F.transform(_chunks(normalised, size), lambda c: F.transform(_places(c, size), lambda i: F.substring(c, i, F.lit(size)))))
+    """The shingles of a line, spelled, in their order."""
+    every = lambda b: F.transform(_places(b, size), lambda i: F.substring(b, i, F.lit(2 * size)))
+    return F.get(F.transform(F.array(_spelled(normalised)), every), F.lit(0))
 
 
-def _shingle_hashes(normalised: Column, size: int = SHINGLE) -> Column:
-    hashed = lambda c: F.transform(_places(c, size), lambda i: F.xxhash64(F.substring(c, i, F.lit(size))))
-    return F.array_distinct(F.flatten(F.transform(_chunks(normalised, size), hashed)))
+def _hashes(normalised: Column, size: int = SHINGLE) -> Column:
+    """The set of 64-bit hashes of a line's shingles."""
+    every = lambda b: F.transform(_places(b, size), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * size))))
+    return F.array_distinct(F.get(F.transform(F.array(_spelled(normalised)), every), F.lit(0)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -86,57 +93,52 @@ def _permuted(row: int) -> Column:
     return h.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """key (hash of a line) and its bands; each shingle goes to least hashes before anything shuffles."""
-    pieces = lines.select(F.xxhash64("line").alias("key"), F.explode(_chunks(F.col("line"), SHINGLE)).alias("c"))
-    each = pieces.select("key", "c", F.explode(_places(F.col("c"), SHINGLE)).alias("i"))
-    each = each.select("key", F.xxhash64(F.substring("c", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    rows = each.groupBy("key").agg(*[F.min(_permuted(k)).alias(f"m{k}") for k in range(BANDS * ROWS)])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return rows.select("key", F.explode(F.array(*bands)).alias("band"))
+def marked(docs: DataFrame) -> DataFrame:
+    """doc, same, place, key (hash of the line) and least hashes of every line: the one pass over all characters."""
+    lines = lines_of(docs).select("*", F.xxhash64("line").alias("key"), F.monotonically_increasing_id().alias("id"))
+    each = lines.select("id", "doc", "same", "place", "key", _spelled(F.col("line")).alias("b"))
+    each = each.select("id", "doc", "same", "place", "key", "b", F.explode(_places(F.col("b"), SHINGLE)).alias("i"))
+    each = each.select("id", "doc", "same", "place", "key", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    names = [F.first(c).alias(c) for c in ("doc", "same", "place", "key")]
+    return each.groupBy("id").agg(*names, *[F.min(_permuted(k)).alias(f"m{k}") for k in range(ROWS)]).drop("id")
 
 
-def _alike(s: Column, t: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of ``n`` and ``m`` reach ``percent`` in 100 of their union; their sizes are looked at first."""
-    common = F.size(F.array_intersect(s, t)).cast("long")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * common >= percent * (n + m))
-
-
-def _may_be_alike(x: Column, y: Column, percent: int) -> Column:
-    """False only for sets that differ in more hashes than they may: each bit in which their parities differ is one at least."""
-    bits = sum(F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(PARITIES))
-    return (100 + percent) * bits <= (100 - percent) * (x["n"] + y["n"])
-
-
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets (key, n, s) are alike."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), "b")
-    return both.where(_alike(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
-def meetings(lines: DataFrame) -> DataFrame:
+def meetings(marks: DataFrame) -> DataFrame:
     """hub, key: each line that shares a band once with the least line of each band it shares, hubs themselves too."""
-    bands = signatures(lines)
+    rows = marks.groupBy("key").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(ROWS)])
+    bands = [F.xxhash64(F.lit(b), *[f"m{k}" for k in triple]) for b, triple in enumerate(BANDS)]
+    bands = rows.select("key", F.explode(F.array(*bands)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("_last")).where("hub <> _last")
     return bands.join(shared.select("band", "hub"), "band").select("hub", "key").distinct()
 
 
-def line_sets(lines: DataFrame, meets: DataFrame) -> DataFrame:
-    """key, n, s (hashes of its shingles) of the lines that meet another."""
+def near_lines(docs: DataFrame, meets: DataFrame) -> DataFrame:
+    """key, line, n (size of its set of shingles) and p0 ...: whether the hashes of the set that fall on a bit are an odd
+    number, for 64 x PARITIES bits; of the lines that meet another."""
     near = meets.select("key").distinct()
     near = F.broadcast(near) if near.count() <= BROADCAST_KEYS else near
-    texts = lines.withColumn("key", F.xxhash64("line")).join(near, "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.first("line").alias("line"))
-    return texts.select("key", _shingle_hashes(F.col("line")).alias("s")).select("key", F.size("s").cast("long").alias("n"), "s")
-
-
-def parities(sets: DataFrame) -> DataFrame:
-    """key, p0 ...: whether the hashes of a set that fall on a bit are an odd number, for 64 x PARITIES bits."""
-    each = sets.select("key", F.explode("s").alias("h"))
+    texts = lines_of(docs).select(F.xxhash64("line").alias("key"), "line").join(near, "key", "left_semi")
+    texts = written(texts.groupBy("key").agg(F.first("line").alias("line")), "line-texts")
+    each = texts.select("key", F.explode(_hashes(F.col("line"))).alias("h"))
     word = F.shiftright("h", 6).bitwiseAND(F.lit(PARITIES - 1))
     bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
-    return each.groupBy("key").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)])
+    parity = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)]
+    return written(texts.join(each.groupBy("key").agg(F.count("*").alias("n"), *parity), "key"), "near-lines", texts)
+
+
+def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """False only for sets that differ in more hashes than they may: each bit in which their parities differ is one at least."""
+    bits = sum(F.bit_count(x(f"p{k}").bitwiseXOR(y(f"p{k}"))) for k in range(PARITIES))
+    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & ((100 + percent) * bits <= (100 - percent) * (x("n") + y("n")))
+
+
+def similar(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets of shingles reach ``percent`` in 100 of their union."""
+    for side in ("a", "b"):
+        pairs = pairs.join(near.select([F.col(c).alias(side if c == "key" else f"{c}_{side}") for c in near.columns]), side)
+    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    common = F.size(F.array_intersect(_hashes(a("line")), _hashes(b("line")))).cast("long")
+    return pairs.where(_may_be_alike(a, b, percent)).where((100 + percent) * common >= percent * (a("n") + b("n"))).select("a", "b")
 
 
 def placed_lines(meets: DataFrame, links: DataFrame) -> DataFrame:
@@ -158,40 +160,40 @@ def across(placed: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
-def left_over(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between lines of one hub in different components: every such pair is compared."""
+def left_over(placed: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines of one hub in different components that may be alike: every such pair is looked at."""
     # Lines that can be alike are in one size class or in neighbouring ones.
     width = math.log(100 / percent) * 1.0001
-    rows = placed.join(sets.select("key", "n"), "key")
-    rows = rows.select("hub", "key", "root", (F.col("root") != F.col("main")).alias("out"), "n", F.floor(F.log("n") / width).alias("class"))
+    parity = [f"p{k}" for k in range(PARITIES)]
+    rows = placed.join(near.select("key", "n", *parity), "key")
+    rows = rows.withColumn("out", F.col("root") != F.col("main")).withColumn("class", F.floor(F.log("n") / width))
     group = ["hub", "out", "class"]
     total = rows.groupBy(*group).agg(F.ceil(F.sum(F.col("n") + SURCHARGE) / PAGE).alias("pages"))
     rows = rows.join(total, group).withColumn("page", F.pmod(F.xxhash64("key"), F.col("pages")))
-    member = F.struct("key", "root", "n", *[f"p{k}" for k in range(PARITIES)], "s")
-    pages = rows.drop("n").join(sets, "key").join(parities(sets), "key").groupBy(*group, "page").agg(F.collect_list(member).alias("lines"))
+    pages = rows.groupBy(*group, "page").agg(F.collect_list(F.struct("key", "root", "n", *parity)).alias("lines"))
     pages = written(pages, "line-pages")
     x = pages.where("out").select("hub", F.col("class").alias("c"), F.col("page").alias("p"), F.col("lines").alias("own"))
-    near = (F.abs(F.col("class") - F.col("c")) <= 1) & (~F.col("out") | (F.col("class") > F.col("c")) | ((F.col("class") == F.col("c")) & (F.col("page") >= F.col("p"))))
-    both = x.join(pages, "hub").where(near)
+    close = (F.abs(F.col("class") - F.col("c")) <= 1) & (~F.col("out") | (F.col("class") > F.col("c")) | ((F.col("class") == F.col("c")) & (F.col("page") >= F.col("p"))))
+    both = x.join(pages, "hub").where(close)
 
     def found(x: Column) -> Column:
-        alike = lambda y: (x["root"] != y["root"]) & _may_be_alike(x, y, percent) & _alike(x["s"], y["s"], x["n"], y["n"], percent)
-        return F.transform(F.filter("lines", alike), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+        alike = lambda y: (x["root"] != y["root"]) & _may_be_alike(x.getField, y.getField, percent)
+        return F.transform(F.filter("lines", alike), lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
 
-    links = both.select(F.explode(F.flatten(F.transform("own", found))).alias("l")).select("l.a", "l.b")
-    return written(links, "line-links", pages)
+    pairs = both.select(F.explode(F.flatten(F.transform("own", found))).alias("l")).select("l.a", "l.b")
+    return written(pairs.distinct(), "line-pairs", pages)
 
 
-def line_classes(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_classes(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, root for lines that are linked with a different one."""
-    meets = written(meetings(lines), "meets")
-    sets = written(line_sets(lines, meets), "line-sets")
+    meets = written(meetings(marks), "meets")
+    near = near_lines(docs, meets)
     star = meets.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    links = written(similar(star, sets, percent), "line-links")
-    more = similar(across(placed_lines(meets, links)), sets, percent)
+    links = written(similar(star, near, percent), "line-links")
+    more = similar(across(placed_lines(meets, links)), near, percent)
     links = written(links.unionByName(more), "line-links", links)
-    last = left_over(placed_lines(meets, links), sets, percent)
-    every = written(links.unionByName(last), "line-links", links, last, meets, sets)
+    pairs = left_over(placed_lines(meets, links), near, percent)
+    every = written(links.unionByName(similar(pairs, near, percent)), "line-links", links, pairs, meets, near)
     return components(every).withColumnRenamed("node", "key")
 
 
@@ -203,16 +205,16 @@ def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     equal in id and text are one document here. Ids may be null. An empty table gives no rows. Only doc_id
     and text are read.
     """
-    lines = lines_of(docs)
-    roots = line_classes(lines, percent)
-    at = written(lines.select("doc", "same", "place", F.xxhash64("line").alias("key")).distinct(), "line-places")
-    at = at.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    marks = written(marked(docs), "line-marks")
+    roots = written(line_classes(docs, marks, percent), "line-roots")
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
+    at = written(marks.select("doc", "same", "place", "key").distinct().join(roots, "key", "left"), "line-places", marks)
+    at = at.withColumn("root", F.coalesce("root", "key"))
     order = F.struct(F.col("doc").isNotNull().alias("k"), "doc", "same", "place")
-    first = at.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    found = at.join(first, "root").select("doc", "same", "place", (order != F.col("first")).alias("gone"))
-    found = found.groupBy("doc", "same").agg(
-        F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("place")))).alias("removed")
-    )
+    first = at.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = at.join(first, "root").where(order != F.col("first")).groupBy("doc", "same").agg(F.sort_array(F.collect_list("place")).alias("removed"))
+    found = at.groupBy("doc", "same").agg(F.count("*").alias("n_lines"))
+    found = found.join(gone.select(F.col("doc").alias("d"), F.col("same").alias("s"), "removed"), F.expr("doc <=> d AND same = s"), "left").drop("d", "s")
     every = _keyed(docs).select("doc", "same").distinct()
     joined = every.join(found.select(F.col("doc").alias("d"), F.col("same").alias("s"), "n_lines", "removed"), F.expr("doc <=> d AND same = s"), "left")
     return joined.select("doc", "same", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

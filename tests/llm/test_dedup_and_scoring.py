@@ -173,7 +173,7 @@ def brute_lines(rows, percent):
     return {(d, p) for d, p, x in at if first[number[x]] != (d, p)}, len(pairs)
 
 
-@pytest.mark.parametrize("page", [line_dedup.PAGE, 400])
+@pytest.mark.parametrize("page", [line_dedup.PAGE, 1500])
 def test_lines(docs_of, monkeypatch, page):
     monkeypatch.setattr(line_dedup, "PAGE", page)
     rng = random.Random(4)

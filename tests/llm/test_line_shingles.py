@@ -36,7 +36,8 @@ def test_every_character_has_a_shingle(spark):
     lines = ["", "short", "ninechars", "one-token/without.spaces", "two words \U0001f600\U0001f600 and more"]
     frame = spark.createDataFrame([(x,) for x in lines], "line string")
     got = {r.line: r.s for r in frame.select("line", line_dedup.shingles(frame["line"]).alias("s")).collect()}
-    assert got == {x: [x[i : i + 9] for i in range(max(1, len(x) - 8))] for x in lines}
+    spelled = {x: x.encode("utf-16-be") for x in lines}
+    assert got == {x: [b[2 * i : 2 * i + 18] for i in range(max(1, len(b) // 2 - 8))] for x, b in spelled.items()}
 
 
 def test_long_tokens_that_differ_a_little_are_one(docs_of):
