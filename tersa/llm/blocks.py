@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,17 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             )
 
         for batch in batches(rows, 200):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK_BYTES:
-                yield flush()
-                held, size, number = [], 0, number + 1
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)) + 1 + np.arange(batch.num_rows)
+            at, done = 0, 0
+            while at < batch.num_rows:
+                # Up to the row with which the block is full; a text longer than a block ends the one it is in.
+                stop = min(int(np.searchsorted(ends, done + BLOCK_BYTES - size)) + 1, batch.num_rows)
+                held.append(batch.slice(at, stop - at))
+                size += int(ends[stop - 1]) - done
+                at, done = stop, int(ends[stop - 1])
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
         if held:
             yield flush()
 
@@ -65,6 +72,16 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return written(plain.mapInArrow(build, BLOCK_SCHEMA), "blocks")
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of texts with about so many bytes at most, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, stop
+        at = stop
+
+
 def opened(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 

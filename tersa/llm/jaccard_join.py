@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.blocks import Words, each_block, in_blocks, list_of, member, rolling
+from tersa.llm.blocks import Words, each_block, in_blocks, list_of, member, rolling, slices
 from tersa.llm.common import partitions, pick, written
 from tersa.llm.graph import components
 from tersa.llm.tokens import batches
@@ -35,9 +35,11 @@ from tersa.llm.tokens import batches
 #: Shingles in the prefixes of more classes than this may go last in the order, at most so many of them: the bound on what is broadcast.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
 #: Shingles in a tree; each set counts as so many more, which bounds the number of sets.
-PAGE, SURCHARGE = 2_000_000, 1_000
+PAGE, SURCHARGE = 1_000_000, 500
 #: Bytes of the table of which probe has which shingle, and of probes that wait for a walk.
-TABLE_BYTES, WAITING_BYTES = 32 << 20, 8 << 20
+TABLE_BYTES, WAITING_BYTES = 16 << 20, 8 << 20
+#: Bytes of text that are made into shingles together.
+SLICE_BYTES = 512 << 10
 
 
 def set_sizes(n: int, percent: int) -> int:
@@ -64,28 +66,25 @@ def least(n: np.ndarray, low: int, high: int, percent: int, fronts: bool) -> np.
 
 
 def shingle_sets(docs: pa.Table, size: int) -> list[np.ndarray]:
-    """The ascending distinct shingle hashes of each document of a block."""
-    words = Words(docs.column("text"), lower=True)
-    full = rolling(words.hash, size, 0x3C6E)
-    out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        n = b - a
-        if n >= size:
-            out.append(np.unique(full[a : b - size + 1]))
-        elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(words.hash[a:b].tobytes(), seed=n)], dtype=np.uint64))
-        else:
-            out.append(np.array([], dtype=np.uint64))
+    """The ascending distinct shingle hashes of each document of a block, made a slice of the block at a time."""
+    texts, out = docs.column("text").combine_chunks(), []
+    for low, high in slices(texts, SLICE_BYTES):
+        words = Words(texts.slice(low, high - low), lower=True)
+        full = rolling(words.hash, size, 0x3C6E)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            n = b - a
+            if n >= size:
+                out.append(np.unique(full[a : b - size + 1]))
+            elif n:
+                out.append(np.array([xxhash.xxh3_64_intdigest(words.hash[a:b].tobytes(), seed=n)], dtype=np.uint64))
+            else:
+                out.append(np.array([], dtype=np.uint64))
     return out
 
 
 def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """A set in the global order."""
-    if not len(frequent):
-        return shingles
-    at = np.searchsorted(frequent, shingles)
-    at[at == len(frequent)] = 0
-    late = frequent[at] == shingles
+    late = member(shingles, frequent)
     return np.concatenate([shingles[~late], shingles[late]])
 
 

@@ -252,3 +252,14 @@ def test_scores_edges(edges, docs_of, spark):
     none = spark.createDataFrame([], "doc_id long")
     assert len(lm_scoring.score(edges, none).collect()) == len(EDGES)
     assert lm_scoring.score(docs_of([]), none).count() == 0
+
+
+def test_blocks_are_bounded_by_size(docs_of, monkeypatch):
+    monkeypatch.setattr("tersa.llm.blocks.BLOCK_BYTES", 100_000)
+    from tersa.llm import blocks
+
+    rows = [(i, "x" * (20_000 if i % 3 else 7)) for i in range(90)] + [(90, "y" * 400_000), (91, None)]
+    made = blocks.in_blocks(docs_of(rows).select("doc_id", "text")).collect()
+    texts = [[len(t) for t in blocks.opened(r.payload).column("text").to_pylist()] for r in made]
+    assert sum(map(len, texts)) == len(rows) and sum(map(sum, texts)) == sum(len(t or "") for _, t in rows)
+    assert all(sum(t[:-1]) < 100_000 for t in texts)
