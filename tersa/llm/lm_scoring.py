@@ -6,14 +6,15 @@ target model less that under the background model; the less, the more it reads l
 
 Counts cover every word and every bigram of every document, and so grow with the corpus; none are gathered. Words are
 named by their hashes. Each block of documents asks for its distinct words and bigrams, and scores its documents
-with the answers. What no other block holds is not asked for: the block has its counts already.
+with the answers. What no other block holds is not answered: the block has its counts already. A document can be left out of
+the model that scores it, so that what it alone says counts for nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersa.llm.blocks import Words, each_block, in_blocks, member, mixed, signed, unsigned
@@ -67,9 +68,9 @@ class Vocabulary:
         before[words.first[:-1][words.count > 0]] = START
         return own, before
 
-    def losses(self, pairs: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Loss in nats under both models, from the counts by model of bigrams, of their histories and of their words."""
-        plain = (counts + ADDED) / (self.tokens[:, None] + ADDED * self.symbols)
+    def losses(self, pairs: np.ndarray, seen: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Loss in nats under both models, from the counts by model of bigrams, of their histories and of their words, and of all tokens."""
+        plain = (counts + ADDED) / (tokens + ADDED * self.symbols)
         both = BIGRAM_WEIGHT * pairs / np.maximum(seen, 1) + (1 - BIGRAM_WEIGHT) * plain
         return -np.log(np.where(seen > 0, both, plain))
 
@@ -129,21 +130,37 @@ def asked_rows(blocks: DataFrame, known: Vocabulary) -> DataFrame:
     return each_block(blocks, rows, "key long, block long, target int, background int")
 
 
-def score(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
+def own_counts(words: Words, symbols: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a block how often its document holds its bigram, its history and itself."""
+
+    def times(x: np.ndarray) -> np.ndarray:
+        _, at, n = np.unique(words.doc * (int(x.max(initial=0)) + 1) + x, return_inverse=True, return_counts=True)
+        return n[at]
+
+    of_word = times(symbols)
+    of_history = np.ones_like(of_word)
+    of_history[1:] = of_word[:-1]
+    of_history[words.first[:-1][words.count > 0]] = 1  # each document begins once
+    return times(bigrams), of_history, of_word
+
+
+def score(docs: DataFrame, target: DataFrame, size: int | None = None, leave_out: bool = False) -> DataFrame:
     """OUT rows, one for each row of ``docs`` (doc_id, text); ``target`` has the doc_id of target documents.
 
     Words are what white space (ASCII) separates, A-Z in lower case. A null or empty text has no tokens
     and losses and difference 0. Without any target document that model is uniform over the vocabulary. A
     null id is background; rows that repeat count as often as they come. An empty table gives no rows.
-    Further columns are ignored. Hashes of words and bigrams have 64 bits. With ``size`` the model is pruned: so
+    Further columns are ignored. Hashes of words and bigrams have 64 bits. With ``leave_out`` a row is scored by its own model as
+    if it had not been counted: its own words and bigrams are taken from the counts first. With ``size`` the model is pruned: so
     many words, and bigrams seen LEAST_COUNT times.
     """
     blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target))
     known = vocabulary(blocks, size)
-    least = 0 if size is None else LEAST_COUNT
-    asked = asked_rows(blocks, known)  # cheaper to make twice than to keep
-    model = asked.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = asked.select("key", "block").join(model, "key")
+    minimum = 0 if size is None else LEAST_COUNT
+    # A key has one row a block, so no key is hot; one shuffle serves the sums and the answers.
+    same = Window.partitionBy("key")
+    sums = [F.sum("target").over(same).alias("t"), F.sum("background").over(same).alias("b"), F.count("*").over(same).alias("n")]
+    told = asked_rows(blocks, known).select("key", "block", *sums).where("n > 1")
     # Three lists of longs, filled in step, take half the room of a list of structs.
     told = told.groupBy("block").agg(F.struct(*[F.collect_list(c).alias(c) for c in ("key", "t", "b")]).alias("told"))
 
@@ -152,12 +169,22 @@ def score(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFr
         if told.is_valid:
             keys, *counts = (told[c].values.to_numpy() for c in ("key", "t", "b"))
             asked.answer(keys.view(np.uint64), counts)
-        pairs = asked.counts[:, : len(asked.bigram)]
-        pairs = np.where(pairs.sum(axis=0) >= least, pairs, 0)
-        loss = known.losses(pairs, asked.counts[:, asked.history], asked.counts[:, asked.word])
         words, place = asked.words, asked.place
-        n = np.maximum(words.count, 1)
-        mean = [np.bincount(words.doc, weights=loss[m][place], minlength=words.n_docs) / n for m in (0, 1)]
+        good = docs.column("is_target").to_numpy()
+        own, n = (0, 0, 0), words.count
+        if leave_out:
+            own = own_counts(words, asked.word[place], place)
+        loss = []
+        for m, of_model in enumerate((good, ~good)):
+            # Rows of this model, where they are left out of it.
+            out = of_model[words.doc] if leave_out else np.zeros(len(place), dtype=bool)
+            pairs, seen, count = (asked.counts[m, at[place]] - out * x for at, x in zip((np.arange(len(asked.bigram)), asked.history, asked.word), own, strict=True))
+            if minimum:
+                pairs = np.where(asked.counts[:, place].sum(axis=0) >= minimum, pairs, 0)
+            tokens = known.tokens[m] - out * (n[words.doc] if leave_out else 0)
+            loss.append(known.losses(pairs, seen, count, tokens))
+        n = np.maximum(n, 1)
+        mean = [np.bincount(words.doc, weights=x, minlength=words.n_docs) / n for x in loss]
         cols = [docs.column("doc_id").combine_chunks(), pa.array(words.count), *map(pa.array, (*mean, mean[0] - mean[1]))]
         flag = docs.column("is_target").combine_chunks()
         return pa.RecordBatch.from_arrays([*cols, flag], [c.split()[0] for c in OUT.split(", ")])

@@ -13,7 +13,7 @@ from tersa.llm.common import documents
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return lm_scoring.score(documents(spark, sf_dir), good)
+    return lm_scoring.score(documents(spark, sf_dir), good, leave_out=True)
 
 
 def op2_lempel_ziv_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,28 @@ def test_every_word_and_bigram_counts(docs_of, spark, monkeypatch, size):
     assert set(got) == set(want)
     for d, (t, b) in want.items():
         assert math.isclose(got[d].target_loss, t, abs_tol=1e-9) and math.isclose(got[d].background_loss, b, abs_tol=1e-9)
+
+
+def test_a_document_is_left_out_of_its_own_model(docs_of, spark):
+    rows = [*corpus(n=60), (6000, ""), (6001, None), (6002, "alone"), (6003, "twice the same twice the same"), (6004, "twice the same twice the same")]
+    target = {d for d, _ in rows if d % 4 == 0}
+    frame = spark.createDataFrame([(d,) for d in target], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.score(docs_of(rows, extra=("key", "n")).repartition(3), frame, leave_out=True).collect()}
+    symbols = len({w for _, t in rows for w in WORD.findall((t or "").translate(LOWER))}) + 1
+    for d, text in rows:
+        ws, loss = WORD.findall((text or "").translate(LOWER)), []
+        for m in (True, False):
+            uni, bi, history = Counter(), Counter(), Counter()
+            for e, t in rows:
+                if e != d and (e in target) == m:
+                    w = WORD.findall((t or "").translate(LOWER))
+                    uni.update(w)
+                    bi.update(zip([None, *w], w))
+                    history.update([None, *w] if w else [])
+            total = 0.0
+            for a, b in zip([None, *ws], ws):
+                plain = (uni[b] + 0.5) / (sum(uni.values()) + 0.5 * symbols)
+                total -= math.log(0.6 * bi[a, b] / history[a] + 0.4 * plain if history[a] else plain)
+            loss.append(total / max(1, len(ws)))
+        assert math.isclose(got[d].target_loss, loss[0], abs_tol=1e-9) and math.isclose(got[d].background_loss, loss[1], abs_tol=1e-9)
+        assert math.isclose(got[d].difference, loss[0] - loss[1], abs_tol=1e-9)
