@@ -76,25 +76,36 @@ def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return seen.withColumn("share", share.cast("long")).drop(*[c for c in seen.columns if c.startswith("_")])
 
 
+def _weight(path: list[str], weights: Mapping[tuple[str, ...], int]) -> Column:
+    """The weight of a node: of the paths given for its depth the one with the fewest stars that matches it, else 1."""
+    weight = F.lit(1)
+    for key in sorted((k for k in weights if len(k) == len(path)), key=lambda k: -k.count("*")):
+        match = F.lit(True)
+        for level, name in zip(path, key, strict=True):
+            match &= F.lit(True) if name == "*" else F.col(level) == name
+        weight = F.when(match, F.lit(weights[key])).otherwise(weight)
+    return weight.cast("long")
+
+
 def budgets(leaves: DataFrame, budget: int | None, max_epochs: int, weights: Mapping[tuple[str, ...], int]) -> DataFrame:
     """domain, lang, source, tokens, share. ``budget`` None: as many tokens as there are.
 
     ``weights`` maps paths from the root, (domain,), (domain, lang) and (domain, lang, source), to whole
-    numbers of 0 or more; "*" in a path stands for any name; a path that is not there weighs 1.
+    numbers of 0 or more; "*" in a path stands for any name; a path that is not there weighs 1. What a node can take is
+    what its children of some weight can, so that no budget goes where it cannot be spent while others have room.
     """
     given = F.lit(budget).cast("long") if budget is not None else None
+    path = list(LEVELS)
+    able = F.when(_weight(path, weights) > 0, F.col("tokens") * max_epochs).otherwise(0)
+    levels = [leaves.groupBy(*path).agg(F.sum("tokens").alias("tokens")).withColumn("cap", able)]
+    for depth in range(len(LEVELS) - 1, 0, -1):
+        path = list(LEVELS[:depth])
+        nodes = levels[0].groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap"))
+        levels.insert(0, nodes.withColumn("cap", F.when(_weight(path, weights) > 0, F.col("cap")).otherwise(0)))
     shares: DataFrame | None = None
-    for depth in range(1, len(LEVELS) + 1):
+    for depth, nodes in enumerate(levels, 1):
         path = list(LEVELS[:depth])
-        nodes = leaves.groupBy(*path).agg(F.sum("tokens").alias("tokens"))
-        nodes = nodes.withColumn("cap", F.col("tokens") * max_epochs)
-        weight = F.lit(1)
-        for key in sorted((k for k in weights if len(k) == depth), key=lambda k: -k.count("*")):
-            match = F.lit(True)
-            for level, name in zip(path, key, strict=True):
-                match &= F.lit(True) if name == "*" else F.col(level) == name
-            weight = F.when(match, F.lit(weights[key])).otherwise(weight)
-        nodes = nodes.withColumn("weight", weight.cast("long"))
+        nodes = nodes.withColumn("weight", _weight(path, weights))
         if shares is None:
             whole = Window.partitionBy(F.lit(0))
             nodes = nodes.withColumn("budget", given if given is not None else F.sum("tokens").over(whole))
@@ -107,12 +118,28 @@ def budgets(leaves: DataFrame, budget: int | None, max_epochs: int, weights: Map
 
 
 def _key(seed: int, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """By seed, epoch and doc_id; rows of one leaf that share an id, or have none, are told apart by their turn."""
+    name = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.md5(F.when(F.col("turn") == 0, name).otherwise(F.concat_ws(":", name, F.col("turn").cast("string"))))
+
+
+def in_turn(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Adds turn: 0, but 0, 1, ... for rows whose leaf and id (``repeated``) come more than once, by their tokens and text (same).
+    Only such rows are sorted. Rows with one text are interchangeable."""
+    if repeated is None:
+        return rows.withColumn("turn", F.lit(0))
+    flags = repeated.select(*[F.col(c).alias(f"_{c}") for c in (*LEVELS, "doc_id")], F.lit(True).alias("_again"))
+    flags = F.broadcast(flags) if repeated.count() <= BROADCAST_LEAVES else flags
+    rows = rows.join(flags, F.expr(" AND ".join(f"{c} <=> _{c}" for c in (*LEVELS, "doc_id"))), "left")
+    order = Window.partitionBy(*LEVELS, "doc_id").orderBy("n_tokens", "same")
+    again = rows.where("_again").withColumn("turn", F.row_number().over(order) - 1)
+    once = rows.where("_again IS NULL").withColumn("turn", F.lit(0))
+    return once.unionByName(again).drop("_again", *[f"_{c}" for c in (*LEVELS, "doc_id")])
 
 
 def plan(sized: DataFrame, budget: int | None, max_epochs: int, weights: Mapping[tuple[str, ...], int], seed: int) -> DataFrame:
     """For each leaf: tokens, share, epochs (whole ones) and cut, the last key that epoch number
-    ``epochs`` still takes ('' if none). ``sized``: doc_id, levels, n_tokens, as a written table."""
+    ``epochs`` still takes ('' if none). ``sized``: doc_id, turn, levels, n_tokens, as a written table."""
     names = list(LEVELS)
     leaves = sized.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     shares = written(budgets(leaves, budget, max_epochs, weights), "budgets")
@@ -124,7 +151,7 @@ def plan(sized: DataFrame, budget: int | None, max_epochs: int, weights: Mapping
     before = Window.partitionBy(*names).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0)))
     edge = sums.where((F.col("base") < F.col("rest")) & (F.col("rest") <= F.col("base") + F.col("t")))
-    inside = keys.select(*names, "g", "key", "doc_id", "n_tokens").join(_held(edge.drop("t")), [*names, "g"])
+    inside = keys.select(*names, "g", "key", "n_tokens").join(_held(edge.drop("t")), [*names, "g"])
     within = Window.partitionBy(*names, "g").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("done", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     cuts = inside.where(F.col("done") < F.col("rest")).groupBy(*names).agg(F.max("key").alias("cut"))
@@ -138,7 +165,7 @@ def _held(leaves: DataFrame) -> DataFrame:
 
 
 def _levelled(docs: DataFrame, domain: Column | None) -> DataFrame:
-    """doc (all columns as a struct), domain, lang, source (null: '') and n_tokens, the words of the whole text."""
+    """doc (all columns as a struct), domain, lang, source (null: ''), n_tokens, the words of the whole text, and same, its md5."""
     source, lang = (F.coalesce(docs[c].cast("string"), F.lit("")) for c in ("source", "lang"))
     return docs.select(
         F.struct(*docs.columns).alias("doc"),
@@ -147,6 +174,7 @@ def _levelled(docs: DataFrame, domain: Column | None) -> DataFrame:
         lang.alias("lang"),
         source.alias("source"),
         F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("n_tokens"),
+        F.md5(F.coalesce(docs["text"], F.lit(""))).alias("same"),
     )
 
 
@@ -163,16 +191,18 @@ def mix(
     A chosen row has doc (all columns of ``docs``, as a struct), domain, lang, source, n_tokens (words
     of the whole text), epoch and order_key, by which an epoch is read. A document is taken if
     the tokens before it in its epoch are fewer than what the leaf has left, so a leaf passes its
-    share by less than one document. Rows with one id in one leaf stand or fall together. A
+    share by less than one document; rows that share an id or have none, and rows repeated whole, are single documents too. A
     null language or source is a leaf ''; a null or empty text has no tokens and comes with
     whole epochs, or before the cut. An empty table, or one without tokens, gives no rows.
     """
     sized = written(_levelled(pick(docs, "doc_id", "text", "lang", "source"), domain).drop("doc"), "sized")
-    leaves = written(plan(sized, budget, max_epochs, weights or {}, seed), "mix-plan")
+    repeated = written(sized.groupBy(*LEVELS, "doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated-ids")
+    repeated = None if repeated.isEmpty() else repeated
+    leaves = written(plan(in_turn(sized, repeated), budget, max_epochs, weights or {}, seed), "mix-plan")
     held = leaves.select(*LEVELS, "epochs", "cut")
     if held.count() <= BROADCAST_LEAVES:
         held = F.broadcast(held)
-    rows = _levelled(docs, domain).join(held, list(LEVELS))
+    rows = in_turn(_levelled(docs, domain), repeated).join(held, list(LEVELS))
     times = F.col("epochs") + (_key(seed, F.col("epochs")) <= F.col("cut")).cast("long")
     rows = rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     return rows.select("doc", *LEVELS, "n_tokens", "epoch", _key(seed, F.col("epoch")).alias("order_key")), leaves

@@ -46,75 +46,67 @@ def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Siblings share a budget: a node is full if, at the level that fills it, all of them together take no more than there is.
 _FILL = """
-{n}_a AS (
-  SELECT *, CASE WHEN weight > 0 THEN cap::DOUBLE / weight::DOUBLE ELSE 'inf'::DOUBLE END AS ratio FROM {n}_in
-), {n}_b AS (
-  SELECT *, coalesce(sum(cap) OVER (PARTITION BY {p} ORDER BY ratio, {k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
-         sum(weight) OVER (PARTITION BY {p} ORDER BY ratio, {k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wleft,
-         row_number() OVER (PARTITION BY {p} ORDER BY ratio, {k}) AS pos
-  FROM {n}_a
-), {n}_c AS (
-  SELECT *, budget - filled AS room, weight > 0 AND cap::HUGEINT * wleft <= weight::HUGEINT * (budget - filled) AS is_full FROM {n}_b
-), {n}_d AS (
-  SELECT *, min(CASE WHEN NOT is_full THEN pos END) OVER (PARTITION BY {p}) AS first_open FROM {n}_c
-), {n}_e AS (
-  SELECT *, max(CASE WHEN pos = first_open THEN room END) OVER (PARTITION BY {p}) AS rest,
-         max(CASE WHEN pos = first_open THEN wleft END) OVER (PARTITION BY {p}) AS weights FROM {n}_d
-), {n}_f AS (
-  SELECT *, coalesce(pos >= first_open AND weight > 0 AND weights > 0, false) AS is_open FROM {n}_e
-), {n}_g AS (
-  SELECT *, CASE WHEN is_open THEN (weight::HUGEINT * rest) // weights ELSE 0 END AS low FROM {n}_f
-), {n}_h AS (
-  SELECT *, rest - sum(low) OVER (PARTITION BY {p}) AS lost FROM {n}_g
+{n}_full AS (
+  SELECT a.*, a.weight > 0 AND (
+           SELECT sum(least(b.cap::HUGEINT * a.weight, b.weight::HUGEINT * a.cap)) FROM {n}_in b WHERE b.weight > 0 AND {same}
+         ) <= a.budget::HUGEINT * a.weight AS is_full
+  FROM {n}_in a
+), {n}_left AS (
+  SELECT *, budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (PARTITION BY {p}), 0) AS rest,
+         sum(CASE WHEN NOT is_full THEN weight ELSE 0 END) OVER (PARTITION BY {p}) AS weights,
+         row_number() OVER (PARTITION BY {p}, is_full OR weight = 0 ORDER BY cap::DOUBLE / nullif(weight, 0)::DOUBLE, {k}) - 1 AS place
+  FROM {n}_full
+), {n}_low AS (
+  SELECT *, CASE WHEN is_full OR weight = 0 THEN 0 ELSE weight::HUGEINT * rest // weights END AS low FROM {n}_left
 ), {n} AS (
-  SELECT *, CASE WHEN is_open THEN least(cap, low + CASE WHEN pos - first_open < lost THEN 1 ELSE 0 END)
-                 WHEN is_full THEN cap ELSE 0 END AS share FROM {n}_h
+  SELECT *, CASE WHEN is_full THEN cap WHEN weight = 0 THEN 0
+                 ELSE least(cap, low + CASE WHEN place < rest - sum(low) OVER (PARTITION BY {p}) THEN 1 ELSE 0 END) END AS share FROM {n}_low
 )"""
 
+#: What a node can take is summed from its leaves up, nothing where a weight is 0; budgets go from the root down.
 OP5_SQL = (
     r"""
 WITH d AS (
   SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          'd' || CAST((instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) // 4 AS VARCHAR) AS domain,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS n_tokens
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, md5(coalesce(text, '')) AS same
   FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens) AS tokens, 1 AS weight, 2 * sum(n_tokens) AS cap FROM d GROUP BY ALL
+), langs AS (
+  SELECT domain, lang, CASE lang WHEN 'en' THEN 3 ELSE 1 END AS weight, sum(cap) AS cap FROM leaves GROUP BY ALL
 ), s1_in AS (
-  SELECT domain, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 WHEN 'd2' THEN 2 WHEN 'd3' THEN 2 ELSE 1 END AS weight,
-         (SELECT sum(n_tokens) FROM d) AS budget, 0 AS root
-  FROM d GROUP BY domain
+  SELECT domain, CASE domain WHEN 'd0' THEN 3 ELSE 2 END AS weight, sum(cap) AS cap, (SELECT sum(n_tokens) FROM d) AS budget, 0 AS root
+  FROM langs GROUP BY domain
 ), """
-    + _FILL.format(n="s1", p="root", k="domain").strip()
+    + _FILL.format(n="s1", p="root", k="domain", same="a.root = b.root").strip()
     + """, s2_in AS (
-  SELECT d.domain, d.lang, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, CASE d.lang WHEN 'en' THEN 3 ELSE 1 END AS weight, any_value(s1.share) AS budget
-  FROM d JOIN s1 ON d.domain = s1.domain GROUP BY d.domain, d.lang
+  SELECT langs.*, s1.share AS budget FROM langs JOIN s1 USING (domain)
 ), """
-    + _FILL.format(n="s2", p="domain", k="lang").strip()
+    + _FILL.format(n="s2", p="domain", k="lang", same="a.domain = b.domain").strip()
     + """, s3_in AS (
-  SELECT d.domain, d.lang, d.source, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap, 1 AS weight, any_value(s2.share) AS budget
-  FROM d JOIN s2 ON d.domain = s2.domain AND d.lang = s2.lang GROUP BY d.domain, d.lang, d.source
+  SELECT leaves.*, s2.share AS budget FROM leaves JOIN s2 USING (domain, lang)
 ), """
-    + _FILL.format(n="s3", p="domain, lang", k="source").strip()
+    + _FILL.format(n="s3", p="domain, lang", k="source", same="a.domain = b.domain AND a.lang = b.lang").strip()
     + """, leaf AS (
   SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
          share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest
   FROM s3
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY domain, lang, source, doc_id ORDER BY n_tokens, same) - 1 AS turn FROM d
+), named AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || CASE turn WHEN 0 THEN '' ELSE ':' || CAST(turn AS VARCHAR) END AS name FROM turns
 ), keyed AS (
-  SELECT d.*, epochs, rest, md5('17:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
-  FROM d JOIN leaf USING (domain, lang, source)
+  SELECT named.*, epochs, rest, md5('17:' || CAST(epochs AS VARCHAR) || ':' || name) AS key FROM named JOIN leaf USING (domain, lang, source)
 ), done AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM keyed
-), cuts AS (
-  SELECT domain, lang, source, max(key) AS cut FROM done WHERE before < rest GROUP BY domain, lang, source
-), times AS (
-  SELECT k.*, epochs + CASE WHEN key <= coalesce(cut, '') THEN 1 ELSE 0 END AS n FROM keyed k LEFT JOIN cuts USING (domain, lang, source)
 ), each AS (
-  SELECT *, unnest(range(CAST(n AS BIGINT))) AS epoch FROM times
+  SELECT *, unnest(range(CAST(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM done
 )
-SELECT doc_id, domain, lang0 AS lang, source0 AS source, epoch, n_tokens,
-       md5('17:' || CAST(epoch AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, epoch, n_tokens, md5('17:' || CAST(epoch AS VARCHAR) || ':' || name) AS order_key
 FROM each
 """
 )

@@ -89,3 +89,21 @@ def test_edges(edges, docs_of):
     assert {r.doc.doc_id for r in chosen.collect()} >= {5, 9, 12}
     assert mixing.mix(docs_of([]))[0].count() == 0
     assert mixing.mix(docs_of([(1, None), (2, "")]))[0].count() == 0
+
+
+def test_no_budget_is_lost_under_a_weight_of_zero(docs_of):
+    rows = [(1, "w " * 1000, "en", "a", 0), (2, "w " * 100, "fr", "a", 0), (3, "w " * 1000, "fr", "b", 0)]
+    domain = F.col("source")
+    _, leaves = mixing.mix(docs_of(rows), budget=600, max_epochs=1, weights={("a", "en"): 0}, domain=domain)
+    assert {(r.domain, r.lang): r.share for r in leaves.collect()} == {("a", "en"): 0, ("a", "fr"): 100, ("b", "fr"): 500}
+    _, leaves = mixing.mix(docs_of(rows), budget=600, max_epochs=1, weights={("b",): 0, ("a", "*", "a"): 0}, domain=domain)
+    assert sum(r.share for r in leaves.collect()) == 0
+
+
+def test_rows_without_an_id_or_with_one_id_are_single_documents(docs_of):
+    rows = [(None, "w " * 10)] * 50 + [(i, "w " * 10) for i in range(50)] + [(99, "x " * 10)] * 30
+    for budget in (100, 595, 1300, 1999):
+        chosen, _ = mixing.mix(docs_of(rows), budget=budget, seed=7)
+        taken = chosen.collect()
+        assert budget <= sum(r.n_tokens for r in taken) < budget + 10
+        assert len({(r.epoch, r.order_key) for r in taken}) == len(taken)
