@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test session) is one made here.
+    Only a local session that names none gets one made here; on a cluster each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tersa-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -62,17 +65,41 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> np.ndarray:
-    """At most ``n - 1`` ascending cut points that deal ``key`` into ``n`` near-equal ranges.
+class Ranges:
+    """Near-equal ranges of ascending ``key``, nulls first, at most ``n`` and a few.
 
-    A distributed quantile sketch makes them; ``n`` follows the number of shuffle
-    partitions, so the array on the driver has a known size. Nulls do not count.
+    A distributed quantile sketch finds the cuts; ``n`` follows the number of shuffle partitions, so what the driver holds has
+    a known size. Nulls, and a key so frequent that it would fill ranges of its own, are split further by a 64-bit
+    ``tie``, which is only worked out (``ties``) where that happens. Equal rows stay together.
     """
-    if n < 2:
-        return np.array([], dtype=np.int64)
-    probs = [i / n for i in range(1, n)]
-    found = df.select(F.col(key).cast("long").alias(key)).approxQuantile(key, probs, 1 / (4 * n))
-    return np.unique(np.array(found, dtype=np.int64))
+
+    def __init__(self, df: DataFrame, key: str, n: int, tie: Column):
+        rows = df.select(F.col(key).cast("long").alias(key))
+        count, known = rows.agg(F.count("*"), F.count(key)).first()
+        cuts = rows.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 and known else []
+        self.ids = np.sort(np.array(cuts, dtype=np.int64))
+        again = np.concatenate([[0], np.cumsum(self.ids[1:] == self.ids[:-1])]) if len(self.ids) else np.array([], dtype=np.int64)
+        new = np.searchsorted(self.ids, self.ids)  # the first cut of each key
+        turn = np.arange(len(self.ids)) - new
+        times = np.searchsorted(self.ids, self.ids, side="right") - new
+        self.hashes = np.array([-(1 << 63) + (int(t) << 64) // int(k) for t, k in zip(turn, times, strict=True)], dtype=np.int64)
+        self.nulls = max(1, -(-(count - known) * n // max(count, 1)))
+        self.ties = tie if self.nulls > 1 or again.any() else F.lit(0).cast("long")
+
+    def __getstate__(self) -> dict:
+        """What goes to the workers: all but the column."""
+        return {k: v for k, v in self.__dict__.items() if k != "ties"}
+
+    def of(self, ids: pa.Array, ties: pa.Array) -> np.ndarray:
+        """The number of the range of each row."""
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        own, tie = ids.fill_null(0).to_numpy(), ties.to_numpy()
+        low, high = np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, side="right")
+        place = self.nulls + high
+        for i in np.flatnonzero((high - low > 1) & ~none):
+            place[i] = self.nulls + low[i] + np.searchsorted(self.hashes[low[i] : high[i]], tie[i], side="right")
+        place[none] = [((int(t) + (1 << 63)) * self.nulls) >> 64 for t in tie[none]]
+        return place
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tersa.llm.common import new_path, partitions, pick, range_bounds
-from tersa.llm.tokens import END_ID, as_uint32, batches, default_tokenizer, encoder
+from tersa.llm.common import Ranges, new_path, partitions, pick
+from tersa.llm.tokens import END_ID, batches, default_tokenizer, encoder
 
 MAGIC = b"TERSAEF1"
 HEAD, LIST_HEAD = struct.Struct("<8sB7xQQQq"), struct.Struct("<QQQQB7x")
@@ -112,23 +112,31 @@ class Segment:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds[i] : self.bounds[i + 1]]
 
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Where each document begins and ends, by one select a document; no table of boundaries is made."""
+        start = self.bounds[0]
+        for i in range(1, self.n_docs + 1):
+            stop = self.bounds[i]
+            yield start, stop
+            start = stop
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
-    """shard, doc_id, ids (little-endian bytes, with the end id) of every document."""
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, ranges: Ranges) -> DataFrame:
+    """shard, doc_id, tie, ids (little-endian bytes, with the end id) of every document."""
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = enc.end(end_id)
         for batch in batches(rows):
-            ids = [enc(x) + end for x in batch.column(1).to_pylist()]
-            known = batch.column(0).to_pylist()
-            shard = [0 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in known]
+            ids = [enc(x) + end for x in batch.column(2).to_pylist()]
+            shard = ranges.of(batch.column(0), batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int64()), pa.array(known, pa.int64()), pa.array(ids, pa.binary())],
-                ["shard", "doc_id", "ids"],
+                [pa.array(shard, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
+                ["shard", "doc_id", "tie", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "shard long, doc_id long, ids binary")
+    plain = docs.select(F.col("doc_id").cast("long"), ranges.ties.alias("tie"), "text")
+    return plain.mapInArrow(encode, "shard long, doc_id long, tie long, ids binary")
 
 
 def segments(rows: DataFrame, width: int) -> DataFrame:
@@ -164,16 +172,16 @@ def segments(rows: DataFrame, width: int) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encodes every whole text (null: empty), appends ``end_id`` and writes segments to ``path``.
 
-    Ascending (shard, seq) is ascending doc_id; a null id comes first; rows that share an id
-    stay in one shard, ordered by their ids' bytes. An empty table writes an empty one.
-    Only doc_id and text are read.
+    Ascending (shard, seq) is ascending doc_id; a null id comes first; rows that share an id are ordered by their
+    ids' bytes, and, where they are so many that they fill shards of their own, by a hash of their text first. An empty
+    table writes an empty one. Only doc_id and text are read.
     """
     docs = pick(docs, "doc_id", "text")
     tokenizer = tokenizer or default_tokenizer()
     n = partitions(docs.sparkSession)
-    bounds = range_bounds(docs, "doc_id", 4 * n)
-    rows = encoded(docs, tokenizer, end_id, bounds)
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    ranges = Ranges(docs, "doc_id", 4 * n, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows = encoded(docs, tokenizer, end_id, ranges)
+    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tie", "ids").drop("tie")
     segments(dealt, encoder(tokenizer).dtype.itemsize).write.parquet(path)
 
 
@@ -184,23 +192,24 @@ def read_ids(spark, path: str) -> DataFrame:
 def index(table: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32, shard, seq, from segments.
 
-    Global starts need a running sum over one row a segment, which is all that meets in one task.
+    Offsets in a segment come from the select structure of its boundaries. Global starts are a running sum over the segments of a
+    shard, and one over the shards, whose number does not follow the data.
     """
 
     def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 1):
             shard, seq, payload = (c[0].as_py() for c in batch.columns)
             s = Segment(payload)
-            bounds = s.bounds.all()
-            crc = [zlib.crc32(as_uint32(s.ids[a:b].tobytes(), s.dtype).tobytes()) for a, b in zip(bounds, bounds[1:])]
+            found = [(a, b - a, zlib.crc32(s.ids[a:b].astype("<u4").tobytes())) for a, b in s.spans()]
+            at, size, crc = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
             n = s.n_docs
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * n, pa.int64()),
                     pa.array([seq] * n, pa.int32()),
                     pa.array(s.doc_ids, pa.int64()),
-                    pa.array(bounds[:-1], pa.int64()),
-                    pa.array(np.diff(bounds), pa.int64()),
+                    pa.array(at, pa.int64()),
+                    pa.array(size, pa.int64()),
                     pa.array(crc, pa.int64()),
                 ],
                 ["shard", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"],
@@ -209,8 +218,13 @@ def index(table: DataFrame) -> DataFrame:
     found = table.select("shard", "seq", "payload").mapInArrow(
         decode, "shard long, seq int, doc_id long, _at long, n_tokens long, ids_crc32 long"
     )
-    before = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = table.select("shard", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
+    def before(column: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    shards = table.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
+    shards = shards.select("shard", before("_n", Window.orderBy("shard")).alias("_shard_base"))
+    base = table.select("shard", "seq", before("n_ids", Window.partitionBy("shard").orderBy("seq")).alias("_base")).join(shards, "shard")
+    base = base.select("shard", "seq", (F.col("_base") + F.col("_shard_base")).alias("_base"))
     return found.join(base, ["shard", "seq"]).select(
         "doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32", "shard", "seq"
     )

@@ -68,3 +68,40 @@ def test_many_ranges(docs_of):
 def test_one_and_none(docs_of):
     check(docs_of([(4, "alone. by itself")]), [(4, "alone. by itself")])
     assert fp.fingerprint(docs_of([])).count() == 0
+
+
+def test_marks_are_read():
+    for text, other in (("!!!", ""), ("...abc", "abc"), ("a. ?? b", "a. b")):
+        assert set(fp.paragraph_digests(text)) != set(fp.paragraph_digests(other))
+
+
+def test_a_false_peel_is_tried_again(monkeypatch):
+    """Checks of one bit let cells of several digests pass for one; the numbers of both sides tell."""
+    monkeypatch.setattr(fp, "_check", lambda digest: (digest & np.uint64(1)).astype(np.uint32))
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = ([int(x) for x in np.unique(rng.integers(0, 4000, 40))] for _ in range(2))
+        near = fp.likeness([a], [b])[0]
+        assert 0 <= near <= 1
+
+
+def test_recovered_digests_are_returned(docs_of):
+    rows = [(1, "one. two. three. four."), (2, "five. six.")]
+    got = {r.doc_id: r for r in fp.fingerprint(docs_of(rows)).collect()}
+    signed = lambda texts: sorted(np.array([fp.paragraph_digests(t)[0] for t in texts], dtype=np.uint64).view(np.int64).tolist())
+    text = fp.edited(rows[0][1], rows[1][1])
+    own, new = ({x for x in fp.paragraph_digests(t)} for t in (rows[0][1], text))
+    number = lambda x: sorted(np.array(sorted(x), dtype=np.uint64).view(np.int64).tolist())
+    assert sorted(got[1].lost) == number(own - new) and sorted(got[1].gained) == number(new - own) and got[1].lost
+    assert signed(["one."])[0] not in got[1].lost
+
+
+def test_many_rows_without_an_id_or_with_one(docs_of):
+    for same in (None, 7):
+        rows = [(same, f"Text {i}. Of {i * i}.") for i in range(200)] + [(i, "some. other.") for i in range(3)]
+        got = fp.fingerprint(docs_of(rows)).collect()
+        assert sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
+        # Each text is followed once: the edits are those of one order of all rows.
+        texts = [t for d, t in rows if d == same]
+        ends = {hashlib.sha256(fp.edited(a, b).encode()).hexdigest() for a in texts for b in [*texts, "some. other."]}
+        assert all(r.edited_sha256 in ends for r in got if r.doc_id == same)

@@ -147,3 +147,13 @@ def test_solve_places_every_piece(counts):
     n = sum(t for t, _ in patterns)
     total = sum(n * c for n, c in counts.items())
     assert n <= 1 + total * 11 / 9 / 50 + 1 or n <= 1 + 2 * total / 50
+
+
+def test_ids_that_are_null_or_one_fill_several_shards(docs_of):
+    for same in (None, 7):
+        rows = [(same, f"text {i} of many") for i in range(200)] + [(-1, "first"), (9, "last")]
+        got = sorted(token_output.write_and_index(docs_of(rows)).collect(), key=lambda r: r.start)
+        assert len({r.shard for r in got if r.doc_id == same}) > 4
+        assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+        known = [r.doc_id for r in got if r.doc_id is not None]
+        assert known == sorted(known) and [r.doc_id for r in got].index(-1) == (0 if same else 200)
