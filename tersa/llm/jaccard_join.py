@@ -172,43 +172,58 @@ class PrefixTree:
 
 
 class Page:
-    """The classes of one tree: ``names``, their tree, and ``label``, the component of each under the links found so far."""
+    """The classes of one tree at ``hub``: ``names``, their tree, and ``label``, the component of each under the links found so far.
 
-    def __init__(self, names: list[int], sets: list[np.ndarray], sizes: list[int], percent: int, fronts: bool, frequent: np.ndarray, apart: bool):
-        self.names, self.percent, self.fronts = np.array(names, dtype=np.int64), percent, fronts
+    With ``fronts`` the tree is of prefixes, and ``hubs`` are all hubs of each class: of the hubs that two classes
+    have in common only the least answers for them."""
+
+    def __init__(self, hub: int, names: list[int], sets: list[np.ndarray], sizes: list[int], hubs: list[list[int]], percent: int, fronts: bool, frequent: np.ndarray, apart: bool):
+        self.hub, self.names, self.percent, self.fronts = hub, np.array(names, dtype=np.int64), percent, fronts
         self.tree = PrefixTree(sets, sizes, frequent)
         self.label = np.arange(len(names)) if apart else np.zeros(len(names), dtype=np.int64)
-        self.apart = apart
-
-    def inside(self) -> np.ndarray:
-        """Pairs of names within the tree: with prefixes, each class that may have a partner, with itself; else links
-        between components."""
-        out = []
-        able = np.zeros(len(self.names), dtype=bool)
-        for i, hits in self.tree.matches(self.percent, fronts=self.fronts) if self.apart else ():
-            hits = hits[hits != i]
-            if self.fronts:
-                able[hits] = True
-                able[i] |= len(hits) > 0
-                continue
-            other, one = np.unique(self.label[hits], return_index=True)
-            for label, j in zip(other.tolist(), hits[one].tolist(), strict=True):
-                if label != self.label[i]:
-                    out.append((self.names[i], self.names[j]))
-                    self.label[self.label == label] = self.label[i]
-        return np.array(out if not self.fronts else [(x, x) for x in self.names[able]], dtype=np.int64).reshape(-1, 2)
-
-    def against(self, names: list[int], probes: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-        """The same between probes and the tree."""
-        out, seen = set(), set()
-        for i, hits in self.tree.matches(self.percent, probes, sizes, self.fronts):
-            for j in hits.tolist():
-                if self.fronts:
-                    out |= {(self.names[i], self.names[i]), (names[j], names[j])}
-                elif (j, self.label[i]) not in seen:
-                    seen.add((j, self.label[i]))
-                    out.add((self.names[i], names[j]))
-        return np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+        self.apart, self.hubs = apart, hubs
+
+    def _lesser(self, hubs: list[list[int]], column: dict[int, int]) -> np.ndarray:
+        """Which class has which hub less than this one."""
+        out = np.zeros((len(hubs), len(column)), dtype=bool)
+        for i, own in enumerate(hubs):
+            out[i, [column[h] for h in own if h in column]] = True
+        return out
+
+    def able(self, probes: tuple[list[int], list[np.ndarray], list[int], list[list[int]]] | None) -> np.ndarray:
+        """Pairs (hub, class) of the classes that may have a partner for which this hub answers."""
+        names, sets, sizes, hubs = probes or (self.names, None, None, self.hubs)
+        column = {h: k for k, h in enumerate(sorted({h for own in self.hubs for h in own if h < self.hub}))}
+        mine = self._lesser(self.hubs, column)
+        theirs = mine if probes is None else self._lesser(hubs, column)
+        own, other = np.zeros(len(self.names), dtype=bool), np.zeros(len(names), dtype=bool)
+        for i, hits in self.tree.matches(self.percent, sets, sizes, True):
+            hits = hits[~(theirs[hits] & mine[i]).any(axis=1)]
+            hits = hits[hits != i] if probes is None else hits
+            other[hits] = True
+            own[i] |= len(hits) > 0
+        found = np.union1d(self.names[own], np.asarray(names, dtype=np.int64)[other])
+        return np.stack([np.full(len(found), self.hub), found], axis=1)
+
+    def links(self, probes: tuple[list[int], list[np.ndarray], list[int], list[list[int]]] | None) -> np.ndarray:
+        """Links (a, b): of the tree's own classes those that join two components of it, of probes one to each component."""
+        out: list[tuple[int, int]] = []
+        if probes is None:
+            for i, hits in self.tree.matches(self.percent) if self.apart else ():
+                other, one = np.unique(self.label[hits], return_index=True)
+                for label, j in zip(other.tolist(), hits[one].tolist(), strict=True):
+                    if label != self.label[i]:
+                        out.append((self.names[i], self.names[j]))
+                        self.label[self.label == label] = self.label[i]
+        else:
+            names, sets, sizes, _ = probes
+            seen = set()
+            for i, hits in self.tree.matches(self.percent, sets, sizes):
+                for j in hits.tolist():
+                    if (j, self.label[i]) not in seen:
+                        seen.add((j, self.label[i]))
+                        out.append((self.names[i], names[j]))
+        return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
 def profiles(blocks: DataFrame, size: int) -> DataFrame:
@@ -311,7 +326,7 @@ KEY = ("hub", "out", "class", "page")
 
 
 def walked(rows: DataFrame, percent: int, fronts: bool, frequent: np.ndarray) -> DataFrame:
-    """a, b from the rows of trees (KEY, kind, node, n, members): kind 0 stands in the tree, kind 1 is a probe."""
+    """a, b from the rows of trees (KEY, kind, node, n, hubs, members): kind 0 stands in the tree, kind 1 is a probe."""
 
     def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, page, held, waiting = None, None, [], 0
@@ -320,28 +335,29 @@ def walked(rows: DataFrame, percent: int, fronts: bool, frequent: np.ndarray) ->
             nonlocal page, held, waiting
             if not held:
                 return
-            names, sizes, sets = (list(x) for x in zip(*held, strict=True))
-            held, waiting = [], 0
+            names, sets, sizes, hubs = (list(x) for x in zip(*held, strict=True))
+            held, waiting, probes = [], 0, None
             if page is None:
-                page = Page(names, sets, sizes, percent, fronts, frequent, bool(key[1]))
-                found = page.inside()
+                page = Page(key[0], names, sets, sizes, hubs, percent, fronts, frequent, bool(key[1]))
             else:
-                found = page.against(names, sets, sizes)
+                probes = names, sets, sizes, hubs
+            found = page.able(probes) if fronts else page.links(probes)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches(rows, 500):
-            *names, kinds, nodes, sizes = (c.to_pylist() for c in batch.columns[:-1])
+            *names, kinds, nodes, sizes, hubs = (c.to_pylist() for c in batch.columns[:-1])
             sets = _members(batch.column(batch.num_columns - 1))
-            for *at, kind, node, n, s in zip(*names, kinds, nodes, sizes, sets, strict=True):
+            for *at, kind, node, n, own, s in zip(*names, kinds, nodes, sizes, hubs, sets, strict=True):
                 if at != key or (kind and (page is None or waiting > WAITING_BYTES)):
                     yield from flush()
                     key, page = at, page if at == key else None
-                held.append((node, n, s.copy()))
+                held.append((node, s.copy(), n, own))
                 waiting += kind * s.nbytes
         yield from flush()
 
-    dealt = rows.select(*KEY, "kind", "node", "n", "members")
+    given = F.col("hubs") if fronts else F.array().cast("array<long>").alias("hubs")
+    dealt = rows.select(*KEY, "kind", "node", "n", given, "members")
     dealt = dealt.repartition(partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY, "kind", "node")
     return dealt.mapInArrow(walk, "a long, b long")
 
@@ -400,10 +416,10 @@ def linked(blocks: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     placed = placed.join(weights, group).withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")))
     placed = written(placed.select(*KEY, "big", "node", "n"), "placed", at)
 
-    able = walked(dealt(placed, shared.select("node", "members")), percent, True, frequent)
-    able = written(able.select(F.col("a").alias("node")).distinct(), "able", shared)
-    sets = set_rows(blocks, nodes.join(able, "node"), size)
-    last = walked(dealt(placed.join(able, "node", "left_semi"), sets), percent, False, frequent)
+    able = walked(dealt(placed, shared.select("node", "members", "hubs")), percent, True, frequent)
+    able = written(able.select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct(), "able", shared)
+    sets = set_rows(blocks, nodes.join(able.select("node").distinct(), "node"), size)
+    last = walked(dealt(placed.join(able, ["hub", "node"], "left_semi"), sets), percent, False, frequent)
     last = last if first is None else last.unionByName(first.select("a", "b"))
     return components(written(last, "links", placed, able, sets, nodes))
 
