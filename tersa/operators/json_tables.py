@@ -27,7 +27,8 @@ FLAT_KEYS, FLAT_LEVELS = 6, 2
 # Fixed value: a minified text must be shorter than this share.
 MINIFIED = 0.9
 
-CELLS = "blob_id {id}, wrapper string, row int, pos int, col string, kind string, cell string, num double, json string"
+#: One row a value; col is null in the one row of an empty object. key: the column's name as JSON. same: equal for equal values only.
+CELLS = "blob_id {id}, wrapper string, row int, pos int, col string, key string, same string, cell string, num double, json string, compact string"
 
 
 def parsed(text: str | None) -> Any:
@@ -78,13 +79,31 @@ def _number(value: Any) -> float | None:
         return math.copysign(math.inf, value)
 
 
-def _kind(value: Any) -> str:
-    """Numbers and booleans that are equal have one kind, so that a constant column may mix them."""
-    return "s" if isinstance(value, str) else "0" if value is None else "j" if isinstance(value, dict | list) else "n"
+def _same(value: Any) -> str:
+    """A text that equal values share and no others: numbers and booleans by their exact value, objects in any order of keys."""
+    if isinstance(value, str):
+        return json.dumps(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_same(v)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_same, value)) + "]"
+    if isinstance(value, float) and not value.is_integer():
+        return repr(value)
+    return "null" if value is None else str(int(value))
+
+
+def _row(i: int, obj: dict) -> list[tuple]:
+    found = []
+    for p, (col, v) in enumerate(flat(obj).items()):
+        texts = (json.dumps(v, ensure_ascii=False), json.dumps(v, separators=(",", ":"), ensure_ascii=False))
+        # No number that is not one equals another.
+        same = f"{i}" if v != v else _same(v)
+        found.append((i, p, col, json.dumps(col, ensure_ascii=False), same, _cell(v), _number(v), *texts))
+    return found or [(i, -1, *[None] * 7)]
 
 
 def cells(blobs: DataFrame) -> DataFrame:
-    """CELLS of each blob (blob_id, text) that is or holds one array of objects."""
+    """CELLS of each blob (blob_id, text) that is or holds one array of objects. Each blob_id names one blob; a null text has no cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,12 +111,11 @@ def cells(blobs: DataFrame) -> DataFrame:
             for blob, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 value = parsed(text)
                 found = None if value is None else _objects(value)
-                for i, row in enumerate(found[0] if found else ()):
-                    for p, (col, v) in enumerate(flat(row).items()):
-                        out.append((blob, found[1], i, p, col, _kind(v), _cell(v), _number(v), json.dumps(v, ensure_ascii=False)))
-            kinds = [b.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 3, pa.float64(), pa.string()]
+                for i, obj in enumerate(found[0] if found else ()):
+                    out += [(blob, found[1], *cell) for cell in _row(i, obj)]
+            kinds = [b.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.string()] * 2]
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-            names = ["blob_id", "wrapper", "row", "pos", "col", "kind", "cell", "num", "json"]
+            names = ["blob_id", "wrapper", "row", "pos", "col", "key", "same", "cell", "num", "json", "compact"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return blobs.select("blob_id", "text").mapInArrow(run, CELLS.format(id=dict(blobs.dtypes)["blob_id"]))
@@ -121,12 +139,11 @@ def minified(blobs: DataFrame) -> DataFrame:
 def columns(table: DataFrame) -> DataFrame:
     """blob_id, col, n_rows, freq, at (first appearance), constant (in every row the same): the core columns."""
     whole = table.groupBy("blob_id").agg((F.max("row") + 1).alias("n_rows"))
-    same = F.struct("kind", F.coalesce(F.col("num").cast("string"), F.col("json")))
-    found = table.groupBy("blob_id", "col").agg(
+    found = table.where("col IS NOT NULL").groupBy("blob_id", "col").agg(
         F.count("*").alias("freq"),
         F.min(F.struct("row", "pos")).alias("at"),
-        F.min(same).alias("low"),
-        F.max(same).alias("high"),
+        F.min("same").alias("low"),
+        F.max("same").alias("high"),
         F.min_by("cell", "row").alias("first_cell"),
     )
     found = found.join(whole, "blob_id").where(F.col("freq") >= F.col("n_rows") * CORE)
@@ -144,8 +161,8 @@ def outliers(table: DataFrame, core: DataFrame) -> DataFrame:
 
 def row_texts(table: DataFrame) -> DataFrame:
     """blob_id, row, n_rows, text: each row as JSON, keys in their order."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "col", "json")))
-    one = F.transform(pairs, lambda c: F.concat(F.lit('"'), c["col"], F.lit('": '), c["json"]))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("pos", "key", "json"))))
+    one = F.transform(pairs, lambda c: F.concat(c["key"], F.lit(": "), c["json"]))
     rows = table.groupBy("blob_id", "row").agg(F.concat(F.lit("{"), F.array_join(one, ", "), F.lit("}")).alias("text"))
     return rows.withColumn("n_rows", F.count("*").over(Window.partitionBy("blob_id")))
 
@@ -199,14 +216,14 @@ def tabular(blobs: DataFrame, max_rows: int) -> DataFrame:
     ).where((F.col("k") >= 2) & (F.size("cols") > 0))
     rows = chosen(pinned(row_texts(table), outliers(table, core)), blobs.select("blob_id", F.coalesce("query", F.lit("")).alias("query")), max_rows)
     kept = rows.where("keep").select("blob_id", "row")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "col", "cell", "json")))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("pos", "col", "cell", "key", "compact"))))
     body = table.join(kept, ["blob_id", "row"]).groupBy("blob_id", "row").agg(pairs.alias("cells"), F.first("wrapper").alias("wrapper"))
     body = body.join(plan, "blob_id")
     names = F.transform("consts", lambda c: c["col"])
     by_col = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col"], c["cell"])))
     values = F.array_join(F.transform("cols", lambda c: F.coalesce(F.element_at(by_col, c), F.lit(""))), "|")
     extra = F.filter("cells", lambda c: ~F.array_contains(F.concat("cols", names), c["col"]))
-    extra_text = F.array_join(F.transform(extra, lambda c: F.concat(F.lit('"'), c["col"], F.lit('":'), c["json"])), ",")
+    extra_text = F.array_join(F.transform(extra, lambda c: F.concat(c["key"], F.lit(":"), c["compact"])), ",")
     line = F.concat(values, F.when(F.size(extra) > 0, F.concat(F.lit(" +{"), extra_text, F.lit("}"))).otherwise(""))
     before = F.lag("row").over(Window.partitionBy("blob_id").orderBy("row"))
     gap = F.col("row") - before - 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tersa.config import Config
-from tersa.functions.text import token_estimate
+from tersa.functions.text import is_ref, token_estimate
 from tersa.operators import budget
 from tersa.sources import store
 
@@ -51,17 +51,18 @@ def content_text(content: Any) -> str:
 
 
 class Pipeline:
-    """``store_path``: a folder of the store; each call adds to it, readers keep the latest entry of a reference."""
+    """``store_path``: a folder of the store; each call adds to it, readers keep the latest entry of a reference. Without one the
+    pipeline keeps originals in a folder of its own, in the one that driver and executors share (spark.checkpoint.dir), so whatever
+    a marker names can be had back."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None, store_path: str | None = None, ttl_seconds: float = store.TTL_SECONDS, key: bytes | None = None):
-        self.spark, self.config, self.path, self.ttl, self.key = spark, config or Config(), store_path, ttl_seconds, key
+        self.spark, self.config, self.path, self.ttl, self.key = spark, config or Config(), store_path or store.own_folder(spark), ttl_seconds, key
         self.tokens_in = self.tokens_out = 0
 
     def _put(self, originals: DataFrame) -> None:
         """Stores originals (text) before anything that names them is returned."""
-        if self.path:
-            rows = store.entries(originals.distinct(), F.current_timestamp(), self.config.salt, self.key)
-            rows.withColumn("shard", F.substring("ref", 1, 2)).write.mode("append").partitionBy("shard").parquet(self.path)
+        rows = store.entries(originals.distinct(), F.current_timestamp(), self.config.salt, self.key)
+        rows.withColumn("shard", F.substring("ref", 1, 2)).write.mode("append").partitionBy("shard").parquet(self.path)
 
     def compress(self, messages: DataFrame) -> Compressed:
         """messages: conv_id, idx (from 0), role, content. Only rows that are applied reach the store."""
@@ -78,9 +79,22 @@ class Pipeline:
         self._put(blobs.join(done.where("lossy").select("blob_id"), "blob_id").select("text"))
         return blobs.join(done.select("blob_id", "compressed"), "blob_id", "left").select("blob_id", F.coalesce("compressed", "text").alias("compressed"))
 
-    def retrieve(self, refs: DataFrame) -> DataFrame:
-        rows = store.load(self.spark, self.path).drop("shard")
-        return store.retrieve(refs, store.merged(rows.limit(0), rows), F.current_timestamp(), self.ttl, self.key)
+    def retrieve(self, refs: DataFrame, touch: bool = False) -> DataFrame:
+        """Only entries that are asked for, in the folders of their shards, are read and merged. Each entry found counts as used just
+        now: it is put again, so that the time to live and the bound by recency run from its last use."""
+        if not store.exists(self.spark, self.path):
+            return refs.withColumn("text", F.lit(None).cast("string"))
+        asked = refs.where(is_ref(F.col("ref"))).select("ref", F.substring("ref", 1, 2).alias("shard")).distinct()
+        rows = store.load(self.spark, self.path).join(asked, ["shard", "ref"], "left_semi").drop("shard")
+        found = store.retrieve(refs, store.merged(rows.limit(0), rows), F.current_timestamp(), self.ttl, self.key)
+        if touch:
+            self._put(found.where("text IS NOT NULL").select("text"))
+        return found
+
+    def purge(self) -> None:
+        """Rewrites the store without expired entries and with one entry a reference; the old folder goes when the new one is whole."""
+        if store.exists(self.spark, self.path):
+            store.compact(self.spark, self.path, F.current_timestamp(), self.ttl)
 
     def compress_messages(self, messages: list[dict[str, Any]], query: str = "") -> Result:
         """Blocks count but stay as they are; further keys of a message stay too."""
@@ -103,9 +117,7 @@ class Pipeline:
         return row.compressed
 
     def retrieve_one(self, ref: str) -> str | None:
-        if not self.path:
-            return None
-        return self.retrieve(self.spark.createDataFrame([(str(ref),)], "ref string")).first().text
+        return self.retrieve(self.spark.createDataFrame([(str(ref),)], "ref string"), touch=True).first().text
 
     def stats(self) -> str:
         saved = self.tokens_in - self.tokens_out

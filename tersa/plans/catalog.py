@@ -170,7 +170,7 @@ def _cells(spark, d):
 
 
 def json_cells(spark, d):
-    rows = _cells(spark, d)
+    rows = _cells(spark, d).where("col IS NOT NULL")
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), "col", "cell")
 
 
@@ -240,7 +240,9 @@ def code_compress(spark, d):
 
 
 def line_jaccard(spark, d):
-    rows = docs(spark, d).select("doc_id", F.array_distinct(T.stems(F.col("text"))).alias("s"), F.array_distinct(T.stems(F.substring("text", 1, 400))).alias("t"))
+    """Whole texts by pairs: each document and the one whose doc_id follows its own."""
+    rows = docs(spark, d).select("doc_id", F.array_distinct(T.stems(F.col("text"))).alias("s"))
+    rows = rows.join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t")), "doc_id")
     return rows.select("doc_id", F.round(T.jaccard(F.col("s"), F.col("t")), 12).alias("jaccard"))
 
 
@@ -265,21 +267,22 @@ def session_stats(spark, d):
     return total.select(F.col("b").alias("tokens_in"), F.col("a").alias("tokens_out"), T.savings_line(F.col("b"), F.col("a")).alias("line"))
 
 
-def _stored(spark, d):
-    """Originals, stored one minute apart by doc_id; copies share a reference."""
+def _stored(spark, d, apart=60):
+    """Originals, stored ``apart`` seconds apart by doc_id; copies share a reference."""
     rows = blobs.table(spark, d, "documents")
-    at = F.lit(NOW).cast("timestamp") - F.make_interval(secs=F.col("doc_id") * 60)
+    at = F.lit(NOW).cast("timestamp") - F.make_interval(secs=F.col("doc_id") * apart)
     return rows.select(T.content_ref(F.col("text")).alias("ref"), F.col("text").cast("binary").alias("payload"), at.alias("stored_at"))
 
 
-def _merged(spark, d):
-    rows = _stored(spark, d)
+def _merged(spark, d, apart=60):
+    rows = _stored(spark, d, apart)
     return store.merged(rows.limit(0), rows)
 
 
 def store_roundtrip(spark, d):
     asked = docs(spark, d).select("doc_id", T.content_ref(F.col("text")).alias("ref"))
-    found = store.retrieve(asked, _merged(spark, d), F.lit(NOW))
+    # All stored just now: every original has to come back. Expiry is for ttl_purge.
+    found = store.retrieve(asked, _merged(spark, d, 0), F.lit(NOW))
     return found.select("doc_id", F.md5("text").alias("md5"))
 
 

@@ -271,8 +271,9 @@ SQL: dict[str, str] = {
           || CASE WHEN legend IS NULL THEN '' ELSE chr(10) || '#every-row: ' || legend END || chr(10) || body AS compressed, n > 30 AS lossy FROM plan JOIN body USING (blob_id)""",
     "json_minify": """SELECT o_custkey % 200 AS blob_id, '{"first":' || min(o_orderkey) || ',"last":' || max(o_orderkey) || ',"n":[' || count(*) || ',null,true]}' AS compressed
         FROM orders GROUP BY ALL""",
-    "line_jaccard": f"""WITH s AS (SELECT doc_id, list_distinct({stems("text")}) AS a, list_distinct({stems("substr(text, 1, 400)")}) AS b FROM documents)
-        SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 12) AS jaccard FROM s""",
+    "line_jaccard": f"""WITH s AS (SELECT doc_id, list_distinct({stems("text")}) AS s FROM documents), p AS (
+          SELECT x.doc_id, x.s AS a, y.s AS b FROM s x JOIN s y ON y.doc_id = x.doc_id + 1)
+        SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 12) AS jaccard FROM p""",
     "compress_blob": over_documents(QUERY)
     + f" SELECT id AS doc_id, 'text' AS content_type, {REF} AS ref, true AS lossy, {MARK} || chr(10) || compressed AS compressed FROM brief WHERE compressed <> text",
     "budget_apply": APPLIED
@@ -283,8 +284,7 @@ SQL: dict[str, str] = {
     + """, s AS (SELECT CAST(sum(tokens_before) AS BIGINT) AS b, CAST(sum(tokens_after) AS BIGINT) AS a FROM totals)
         SELECT b AS tokens_in, a AS tokens_out, 'tokens in: ' || format('{:,}', b) || ' | out: ' || format('{:,}', a) || ' | saved: ' || format('{:,}', b - a)
           || ' (' || CAST(round_even(CASE WHEN b = 0 THEN 0 ELSE (b - a)::DOUBLE / b * 100 END, 0) AS INTEGER) || '%)' AS line FROM s""",
-    "store_roundtrip": f"""WITH {STORED} SELECT doc_id, CASE WHEN epoch(TIMESTAMP '{NOW}')::BIGINT - stored_at <= 21600 THEN md5(latest.text) END AS md5
-        FROM documents JOIN latest ON latest.ref = substr(sha256(documents.text), 1, 24)""",
+    "store_roundtrip": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "ttl_purge": f"WITH {STORED} SELECT ref, stored_at FROM latest WHERE epoch(TIMESTAMP '{NOW}')::BIGINT - stored_at <= 21600",
     "lru_bound": f"WITH {STORED} SELECT ref, stored_at FROM latest ORDER BY stored_at DESC, ref LIMIT 100",
     "memo_dedupe": f"SELECT substr(sha256(text || chr(0) || '{QUERY}'), 1, 24) AS memo, min(doc_id) AS doc_id, count(*) AS uses FROM documents GROUP BY memo",

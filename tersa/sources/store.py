@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +57,35 @@ def save(store: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Reads prune to the shard of a ref where the query names it."""
     return spark.read.schema(f"{SCHEMA}, shard string").parquet(path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new folder where the driver and all executors can write: in spark.checkpoint.dir, or, in a local session that names none, in a
+    temporary folder that only its owner can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("give a store path, or name a shared folder in spark.checkpoint.dir")
+        root = f"file://{tempfile.mkdtemp(prefix='originals-')}"
+    return f"{root.rstrip('/')}/originals-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def compact(spark: SparkSession, path: str, now: Column, ttl_seconds: float = TTL_SECONDS) -> None:
+    """The live entries, the latest of each reference, take the place of all of them."""
+    rows = load(spark, path).drop("shard")
+    save(live(merged(rows.limit(0), rows), now, ttl_seconds), f"{path}.new")
+    files, at = _files(spark, path)
+    _, new = _files(spark, f"{path}.new")
+    files.delete(at, True)
+    files.rename(new, at)
+    spark.catalog.refreshByPath(path)

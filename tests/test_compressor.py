@@ -78,6 +78,66 @@ def test_selection_keeps_errors_outliers_and_ends(spark):
     assert "svc-143" in one(json_tables.compress(blobs(spark, payload(), query="what about svc 143"), 25))
 
 
+def test_a_lossless_table_loses_nothing(spark):
+    big = [{"id": 9007199254740992 + i % 2, "a": i} for i in range(4)]
+    holes = [{"a": i, "b": -i} for i in range(9)] + [{}]
+    named = [{"a": i, "b": -i, **({'x"y': {"k": [1, "é"]}, "z": True} if i == 3 else {})} for i in range(9)]
+    out = [r.compressed for r in json_tables.tabular(blobs(spark, *map(json.dumps, (big, holes, named))), 100).orderBy("blob_id").collect()]
+    assert out[0].split("\n") == ["#table cols=id|a rows=4", *(f"{9007199254740992 + i % 2}|{i}" for i in range(4))]
+    assert out[1].split("\n")[0] == "#table cols=a|b rows=10" and out[1].split("\n")[-1] == "|" and len(out[1].split("\n")) == 11
+    extra = out[2].split("\n")[4]
+    assert extra.startswith("3|-3 +") and json.loads(extra[6:]) == {'x"y.k': [1, "é"], "z": True}
+    equal = [{"a": i, "b": i % 2 == 0 or 1, "c": 1.0 if i else 1} for i in range(4)]
+    assert one(json_tables.tabular(blobs(spark, json.dumps(equal)), 9)).startswith("#table cols=a rows=4\n#every-row: b=true | c=1\n")
+
+
+def test_originals_come_back_without_a_given_store(spark):
+    pipe = Pipeline(spark, Config())
+    assert pipe.retrieve_one("0" * 24) is None
+    for text in (log(), PROSE * 9, payload()):
+        out = pipe.compress_blob(text)
+        ref = out.split("[ctx-ref ")[1][:24]
+        assert out != text and pipe.retrieve_one(ref) == text
+    pipe.purge()
+    assert pipe.retrieve_one(ref) == text
+    pipe.ttl = -1
+    pipe.purge()
+    pipe.ttl = 60
+    assert pipe.retrieve_one(ref) is None
+
+
+def outline_by_lines(text):
+    """Another way to the outline: headers found by indentation, not by the syntax tree."""
+    out, source, inside = [], text.splitlines(), None
+    for i, line in enumerate(source):
+        depth = (len(line) - len(line.lstrip())) // 4
+        if not line.strip() or inside is not None and depth > inside:
+            continue
+        inside, word = None, line.split()[0]
+        if word == "def":
+            end = i
+            while end + 1 < len(source) and (not source[end + 1].strip() or len(source[end + 1]) - len(source[end + 1].lstrip()) > depth * 4):
+                end += 1
+            while not source[end].strip():
+                end -= 1
+            doc = source[i + 1].strip()
+            out += [line] + ["    " * (depth + 1) + doc] * doc.startswith('"""') + ["    " * (depth + 1) + f"... # {end - i + 1} lines"]
+            inside = depth
+        elif word in ("class", "import", "from") or depth == 0 and "=" in line and not word.startswith(("for", "if", "print")):
+            out.append(line)
+        elif word.startswith('"""') and out and out[-1].startswith("class"):
+            out.append(line)
+    return out
+
+
+def test_python_outline_against_indentation():
+    from tersa.operators.code import python_outline
+
+    for text in (SOURCE, SOURCE.replace("class C", "LIMIT = 3\n\nclass C", 1).replace("def save(self, x):", 'def save(self, x):\n        """Keeps x."""')):
+        got = python_outline(text, "").split("\n")
+        assert got[0] == f"# skeleton of {len(text.splitlines())}-line python file (bodies elided)" and got[1:] == outline_by_lines(text)
+
+
 def test_minify_and_other_json(spark):
     assert one(json_tables.compress(blobs(spark, '{ "a" :  [1,   2 ],    "b" : null  }'), 9)) == '{"a":[1,2],"b":null}'
     assert json_tables.compress(blobs(spark, '{"a":1}', "[1,2]", "not json"), 9).count() == 0
