@@ -38,6 +38,8 @@ FREQUENT, MOST_FREQUENT = 64, 1_000_000
 PAGE, SURCHARGE = 1_000_000, 500
 #: Bytes of the table of which probe has which shingle, and of probes that wait for a walk.
 TABLE_BYTES, WAITING_BYTES = 16 << 20, 8 << 20
+#: Places of classes in blocks, up to this many, are broadcast as 8 bytes each.
+BROADCAST_PLACES = 1_000_000
 #: Bytes of text that are made into shingles together.
 SLICE_BYTES = 512 << 10
 
@@ -313,7 +315,9 @@ def set_rows(blocks: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in use]
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(use)], ["node", "members"])
 
-    asked = blocks.select("block", "payload").join(owned(nodes), "block")
+    # Up to so many places the blocks stay where they are; beyond that they join by shuffle.
+    places = F.broadcast(owned(nodes)) if nodes.count() <= BROADCAST_PLACES else owned(nodes)
+    asked = blocks.select("block", "payload").join(places, "block")
     return written(each_block(asked, rows, "node long, members array<long>"), "sets")
 
 
