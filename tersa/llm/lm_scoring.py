@@ -12,13 +12,16 @@ the model that scores it, so that what it alone says counts for nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.blocks import Words, each_block, in_blocks, member, mixed, signed, unsigned
-from tersa.llm.common import pick, written
+from tersa.llm.blocks import Words, each_block, in_blocks, member, mixed, unsigned
+from tersa.llm.common import partitions, pick, written
+from tersa.llm.tokens import batches
 
 #: What stands before the first word of a document, and, in a pruned model, for each word outside the vocabulary.
 START, OTHER = np.uint64(0x5374617274), np.uint64(0x4F74686572)
@@ -26,6 +29,8 @@ START, OTHER = np.uint64(0x5374617274), np.uint64(0x4F74686572)
 LEAST_COUNT = 2
 #: Weight of the bigram estimate where its history was seen, and what each word is added to its count.
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
+#: The keys of so many blocks are summed together.
+BLOCKS_A_PART = 4
 #: Target ids up to this many are broadcast; above it they join.
 BROADCAST_IDS = 500_000
 OUT = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, is_target boolean"
@@ -109,25 +114,92 @@ class Asked:
         self.word[place] = n + at[: len(own)]
         self.history[place] = n + np.searchsorted(symbol, before)
 
-    def answer(self, keys: np.ndarray, counts: list[np.ndarray]) -> None:
-        """Counts of the whole corpus in the place of the block's own."""
-        n = len(self.bigram)
-        for of, first in ((self.bigram, 0), (self.key[n:], n)):
-            held = member(keys, of)
-            at = first + np.searchsorted(of, keys[held])
+    def parts(self, n: int) -> list[np.ndarray]:
+        """Places of the keys of each of ``n`` ranges of hashes, in ascending order of keys."""
+        order = np.argsort(self.key)
+        cuts = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
+        return np.split(order, np.searchsorted(self.key[order], cuts))
+
+    def answer(self, parts: list[np.ndarray], told: list[dict]) -> None:
+        """Counts of the whole corpus in the place of the block's own, where others hold a key too."""
+        for row in told:
+            at = parts[row["part"]]
+            shared, *counts = unpacked(row["payload"], (len(at), row["n"], row["n"]), (np.uint8, np.uint32, np.uint32))
             for m in (0, 1):
-                self.counts[m, at] = counts[m][held]
+                self.counts[m, at[shared.astype(bool)]] = counts[m]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers byte by byte, the first bytes of all numbers first: leading zeros, and small counts, take next to nothing."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
 
+def unpacked(payload: bytes, lengths: tuple[int, ...], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    sizes = [n * np.dtype(k).itemsize for n, k in zip(lengths, kinds, strict=True)]
+    data, out, at = np.frombuffer(pa.decompress(payload, sum(sizes), codec="zstd", asbytes=True), np.uint8), [], 0
+    for n, kind, size in zip(lengths, kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + size].reshape(-1, n).T).reshape(-1).view(kind) if n else np.array([], dtype=kind))
+        at += size
+    return out
 
-def asked_rows(blocks: DataFrame, known: Vocabulary) -> DataFrame:
-    """key, block, target, background: the distinct symbols and bigrams of each block."""
+
+ASKED = "part int, block long, n int, payload binary"
+
+
+def asked_rows(blocks: DataFrame, known: Vocabulary, n_parts: int) -> DataFrame:
+    """For each block and range of hashes the distinct symbols and bigrams, as steps from one to the next, with their counts."""
 
     def rows(block: int, docs: pa.Table) -> pa.RecordBatch:
         asked = Asked(docs, known)
-        cols = [pa.array(x.astype(np.int32)) for x in asked.counts]
-        return pa.RecordBatch.from_arrays([signed(asked.key), pa.array(np.full(len(asked.key), block)), *cols], ["key", "block", "target", "background"])
-
-    return each_block(blocks, rows, "key long, block long, target int, background int")
+        parts = [(p, at) for p, at in enumerate(asked.parts(n_parts)) if len(at)]
+        counts = asked.counts.astype(np.uint32)
+        payloads = [packed(np.diff(asked.key[at], prepend=np.uint64(0)), counts[0, at], counts[1, at]) for _, at in parts]
+        cols = [
+            pa.array([p for p, _ in parts], pa.int32()),
+            pa.array([block] * len(parts), pa.int64()),
+            pa.array([len(at) for _, at in parts], pa.int32()),
+            pa.array(payloads, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["part", "block", "n", "payload"])
+
+    return each_block(blocks, rows, ASKED)
+
+
+def told_rows(asked: DataFrame) -> DataFrame:
+    """part, block, n, payload: for each row of ``asked`` which of its keys other blocks hold too, and their counts in all.
+
+    The rows of a range of hashes meet in one task. There are as many ranges as a few blocks go to, so a range is as large as a few
+    blocks, however many there are; a key has one entry a block."""
+
+    def work(part: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        found = [unpacked(payload, (n, n, n), (np.uint64, np.uint32, np.uint32)) for _, n, payload in rows]
+        key, place, times = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in found]), return_inverse=True, return_counts=True)
+        sums = [np.bincount(place, weights=np.concatenate([x[m] for x in found]), minlength=len(key)).astype(np.uint32) for m in (1, 2)]
+        at = 0
+        for block, n, _ in rows:
+            own = place[at : at + n]
+            at, shared = at + n, times[own] > 1
+            own = own[shared]
+            if len(own):
+                payload = packed(shared.view(np.uint8), sums[0][own], sums[1][own])
+                cols = [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([payload], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "n", "payload"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches(rows, 100):
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part and held:
+                    yield from work(part, held)
+                    held = []
+                part = p
+                held.append(tuple(row))
+        if held:
+            yield from work(part, held)
+
+    dealt = asked.repartition(partitions(asked.sparkSession), "part").sortWithinPartitions("part", "block")
+    return dealt.mapInArrow(run, ASKED)
 
 
 def own_counts(words: Words, symbols: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,18 +229,13 @@ def score(docs: DataFrame, target: DataFrame, size: int | None = None, leave_out
     blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target))
     known = vocabulary(blocks, size)
     minimum = 0 if size is None else LEAST_COUNT
-    # A key has one row a block, so no key is hot; one shuffle serves the sums and the answers.
-    same = Window.partitionBy("key")
-    sums = [F.sum("target").over(same).alias("t"), F.sum("background").over(same).alias("b"), F.count("*").over(same).alias("n")]
-    told = asked_rows(blocks, known).select("key", "block", *sums).where("n > 1")
-    # Three lists of longs, filled in step, take half the room of a list of structs.
-    told = told.groupBy("block").agg(F.struct(*[F.collect_list(c).alias(c) for c in ("key", "t", "b")]).alias("told"))
+    n_parts = max(partitions(docs.sparkSession), blocks.count() // BLOCKS_A_PART)
+    told = told_rows(asked_rows(blocks, known, n_parts))
+    told = told.groupBy("block").agg(F.collect_list(F.struct("part", "n", "payload")).alias("told"))
 
     def rows(_: int, docs: pa.Table, told: pa.Scalar) -> pa.RecordBatch:
         asked = Asked(docs, known)
-        if told.is_valid:
-            keys, *counts = (told[c].values.to_numpy() for c in ("key", "t", "b"))
-            asked.answer(keys.view(np.uint64), counts)
+        asked.answer(asked.parts(n_parts), told.as_py() or [])
         words, place = asked.words, asked.place
         good = docs.column("is_target").to_numpy()
         own, n = (0, 0, 0), words.count
