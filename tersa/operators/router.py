@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tersa.functions.text import LOG_LEVEL, TIMESTAMP, lines
 from tersa.operators.code import looks_like_code
@@ -23,20 +22,19 @@ def looks_like_log(text: Column) -> Column:
     return (F.size(full) >= LOG_LINES) & (hits >= F.size(probe) * LOG_SHARE)
 
 
-def with_json_flag(blobs: DataFrame) -> DataFrame:
-    """Adds is_json. Only texts that begin like JSON are parsed: a strict parser decides, in Arrow batches."""
+@F.pandas_udf(BooleanType())
+def _parses(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t is not None and parsed(t) is not None).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parsed(t) is not None for t in b.column(1).to_pylist()])], ["blob_id", "_json"])
 
-    kind = dict(blobs.dtypes)["blob_id"]
-    maybe = blobs.where(F.col("text").rlike(r"(?U)\A\s*[\[{]")).select("blob_id", "text").mapInArrow(run, f"blob_id {kind}, _json boolean")
-    return blobs.join(maybe, "blob_id", "left").withColumn("is_json", F.coalesce("_json", F.lit(False))).drop("_json")
+def is_json(text: Column) -> Column:
+    """Only texts that begin like JSON travel to the parser, which decides, in Arrow batches; the row stays where it is."""
+    begins = text.rlike(r"(?U)\A\s*[\[{]")
+    return F.coalesce(begins & _parses(F.when(begins, text)), F.lit(False))
 
 
 def routed(blobs: DataFrame) -> DataFrame:
-    """Adds content_type to blobs (blob_id, text)."""
+    """Adds content_type to blobs (blob_id, text); a null text is prose."""
     text = F.coalesce("text", F.lit(""))
-    kind = F.when(F.col("is_json"), "json").when(looks_like_log(text), "log").when(looks_like_code(text), "code").otherwise("text")
-    return with_json_flag(blobs).withColumn("content_type", kind).drop("is_json")
+    kind = F.when(is_json(text), "json").when(looks_like_log(text), "log").when(looks_like_code(text), "code").otherwise("text")
+    return blobs.withColumn("content_type", kind)

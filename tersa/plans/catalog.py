@@ -286,6 +286,17 @@ def store_roundtrip(spark, d):
     return found.select("doc_id", F.md5("text").alias("md5"))
 
 
+def mixed_roundtrip(spark, d):
+    """Prose, logs, JSON and code compressed together; what is lossy comes back from the store by the reference in its marker."""
+    rows = _mixed(spark, d).withColumn("query", F.lit(QUERY))
+    lossy = budget.compress_blobs(rows, Config(json_max_rows=20)).where("lossy")
+    named = F.regexp_extract("compressed", r"^\[ctx-ref ([0-9a-f]{24}) ", 1).alias("ref")
+    kept = store.entries(rows.join(lossy.select("blob_id"), "blob_id").select("text"), F.lit(NOW))
+    back = store.retrieve(lossy.select("blob_id", named), store.merged(kept.limit(0), kept), F.lit(NOW))
+    found = rows.select("blob_id", F.md5("text").alias("own")).join(back.select("blob_id", F.md5("text").alias("stored"), F.lit(True).alias("lossy")), "blob_id", "left")
+    return found.select("blob_id", F.when(F.col("lossy"), F.col("stored")).otherwise(F.col("own")).alias("md5"))
+
+
 def ttl_purge(spark, d):
     rows = store.live(_merged(spark, d), F.lit(NOW))
     return rows.select("ref", F.unix_seconds("stored_at").alias("stored_at"))
@@ -312,6 +323,6 @@ QUERIES: dict[str, Query] = {
         bm25_long_id_boost, text_select, text_gaps, text_compress, log_mask, log_groups, log_salient, log_compress, route,
         json_cells, json_columns, json_outliers, json_pins, json_selection, json_table, json_table_lossy, json_minify,
         code_outline_lines, code_generic, code_python, code_compress, line_jaccard, compress_blob, budget_apply, savings,
-        session_stats, store_roundtrip, ttl_purge, lru_bound, memo_dedupe, template_counts,
+        session_stats, store_roundtrip, mixed_roundtrip, ttl_purge, lru_bound, memo_dedupe, template_counts,
     )
 }

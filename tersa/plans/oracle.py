@@ -222,6 +222,108 @@ APPLIED = (
 )"""
 )
 
+_PYTHON = """\"\"\"Module.\"\"\"
+import os
+from sys import argv
+
+LIMIT = 10
+
+class {name}:
+    \"\"\"Rates of a nation.\"\"\"
+
+    def load(self, path):
+        \"\"\"Reads a file.\"\"\"
+        with open(path) as f:
+            data = f.read()
+        rows = data.split(',')
+        return rows[:LIMIT]
+
+    def cache_get(self, key):
+        value = self.cache.get(key)
+        if value is None:
+            value = self.load(key)
+            self.cache[key] = value
+        return value
+
+def main():
+    for a in argv:
+        print(os.path.basename(a))
+        print(len(a))
+        print(a.upper())
+        print('{nation}')
+"""
+_BRACES = """package rates;
+
+import java.util.List;
+
+// rates of {nation}
+public class Rates {{
+    private int base = 1;
+
+    public int load(int a) {{
+        int x = a * 2;
+        for (int i = 0; i < a; i++) {{
+            x += i;
+            x -= base;
+        }}
+        call(x);
+        call(a);
+        return x;
+    }}
+}}
+"""
+
+
+def _filled(template: str) -> str:
+    """A template as SQL, its names from the nation's."""
+    name = "' || upper(substr(id, 1, 1)) || substr(id, 2) || '"
+    return "'" + template.format(name="\0", nation="\1").replace("'", "''").replace("\0", name).replace("\1", "' || n_name || '") + "'"
+
+
+# The patterns of declarations, Python and logs, as the operators have them.
+DECLARED = (
+    r"^\s*(?:export\s+)?(?:public|private|protected|static|async|final|abstract)?\s*"
+    r"(?:function|class|interface|struct|enum|impl|fn|func|def|type|const|var|let|void|int|string|bool|public|private)\b"
+)
+STRUCTURED = r"^(?://|/\*|\*|#|import |package |using )"
+PYTHON_LIKE = r"(?m)^\s*(def |class |import |from |@|if __name__)"
+LOG_LIKE = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}|\b(?:INFO|DEBUG|WARN|WARNING|ERROR|FATAL|TRACE)\b"
+
+CODE = f"""n AS (
+  SELECT n_nationkey::BIGINT AS k, n_name, regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') AS id FROM nation
+), code AS (
+  SELECT k AS blob_id, {_filled(_PYTHON)} AS text FROM n UNION ALL SELECT k + 1000, {_filled(_BRACES)} FROM n
+)"""
+OUTLINE = f"""{CODE}, l AS (
+  SELECT blob_id, unnest(s) AS line, unnest(range(len(s))) AS place, len(s) AS n_lines
+  FROM (SELECT blob_id, string_split(substr(text, 1, length(text) - 1), chr(10)) AS s FROM code)
+), kept AS (
+  SELECT *, place - coalesce(lag(place) OVER (PARTITION BY blob_id ORDER BY place), -1) - 1 AS gap, lead(place) OVER (PARTITION BY blob_id ORDER BY place) IS NULL AS last
+  FROM (SELECT *, trim(line) AS bare, length(line) - length(ltrim(line)) AS indent FROM l)
+  WHERE regexp_matches(line, '{DECLARED}') OR regexp_matches(bare, '{STRUCTURED}') OR (indent = 0 AND bare IN ('}}', '}};')) OR (indent <= 2 AND bare LIKE '%{{')
+), marks AS (
+  SELECT blob_id, place, 0 AS k, '    ... // ' || gap || ' lines elided' AS line, n_lines FROM kept WHERE gap > 0
+  UNION ALL SELECT blob_id, place, 1, line, n_lines FROM kept
+  UNION ALL SELECT blob_id, n_lines, 0, '    ... // ' || (n_lines - 1 - place) || ' lines elided', n_lines FROM kept WHERE last AND place < n_lines - 1
+)"""
+#: The rules restated: JSON by a parser, then logs and code by shares of their lines.
+ROUTED = f"""{CODE}, texts AS (
+  SELECT 'doc' || doc_id AS blob_id, text FROM documents
+  UNION ALL SELECT 'log' || blob_id, string_agg(line, chr(10) ORDER BY event_id) FROM (SELECT user_id % 40 AS blob_id, event_id, {LINE} AS line FROM events) GROUP BY blob_id
+  UNION ALL SELECT 'json' || (o_custkey % 200), '[' || string_agg('{{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","price":' || o_totalprice
+    || ',"meta":{{"region":"eu","priority":"' || o_orderpriority || '"}}}}', ',' ORDER BY o_orderkey) || ']' FROM orders GROUP BY o_custkey % 200
+  UNION ALL SELECT 'code' || blob_id, text FROM code
+), split AS (
+  SELECT blob_id, text, CASE WHEN text LIKE '%' || chr(10) THEN string_split(substr(text, 1, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS s FROM texts
+), probed AS (
+  SELECT *, list_filter(s, lambda x: regexp_matches(x, '\\S'))[:50] AS shown, s[:80] AS head, len(list_filter(s, lambda x: regexp_matches(x, '\\S'))) AS n_full FROM split
+), shares AS (
+  SELECT *, len(list_filter(shown, lambda x: regexp_matches(x, '{LOG_LIKE}'))) AS stamped,
+         len(list_filter(head, lambda x: regexp_matches(x, '{DECLARED}'))) + len(list_filter(head, lambda x: regexp_matches(x, '(?:\\{{|\\}}|\\);)\\s*$'))) AS shaped,
+         len(regexp_extract_all(text, '{PYTHON_LIKE}')) AS hints
+  FROM probed
+)"""
+
 SQL: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
     "conv_tokens": f"SELECT conv_id, CAST(sum({tokens('text')}) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY conv_id",
@@ -290,7 +392,13 @@ SQL: dict[str, str] = {
     "memo_dedupe": f"SELECT substr(sha256(text || chr(0) || '{QUERY}'), 1, 24) AS memo, min(doc_id) AS doc_id, count(*) AS uses FROM documents GROUP BY memo",
     "template_counts": f"""SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour,
         {mask("(CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' user=' || user_id || ' ' || event_type || ' ' || props)")} AS template, count(*) AS n FROM events GROUP BY ALL""",
-    "route": """SELECT 'doc' || doc_id AS blob_id, 'text' AS content_type FROM documents UNION ALL SELECT DISTINCT 'log' || (user_id % 40), 'log' FROM events
-        UNION ALL SELECT DISTINCT 'json' || (o_custkey % 200), 'json' FROM orders UNION ALL SELECT 'code' || n_nationkey, 'code' FROM nation
-        UNION ALL SELECT 'code' || (n_nationkey + 1000), 'code' FROM nation""",
+    "route": f"""WITH {ROUTED} SELECT blob_id, CASE
+        WHEN regexp_matches(text, '^\\s*[\\[{{]') AND json_valid(text) THEN 'json'
+        WHEN n_full >= 10 AND stamped >= len(shown) * 0.4 THEN 'log'
+        WHEN len(s) >= 8 AND (hints >= 3 OR shaped >= len(head) * 0.25) THEN 'code' ELSE 'text' END AS content_type FROM shares""",
+    "mixed_roundtrip": f"WITH {ROUTED} SELECT blob_id, md5(text) AS md5 FROM texts",
+    "code_outline_lines": f"""WITH {OUTLINE} SELECT blob_id, row_number() OVER (PARTITION BY blob_id ORDER BY place, k) - 1 AS "at", line FROM marks""",
+    "code_generic": f"""WITH {OUTLINE}, body AS (SELECT blob_id, any_value(n_lines) AS n_lines, string_agg(line, chr(10) ORDER BY place, k) AS body FROM marks GROUP BY blob_id)
+        SELECT blob_id, CASE WHEN length(body) < length(text) * 0.85 THEN '// skeleton of ' || n_lines || '-line file (bodies elided)' || chr(10) || body END AS compressed
+        FROM code LEFT JOIN body USING (blob_id)""",
 }
