@@ -110,13 +110,15 @@ def profile(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(
-    profiles: DataFrame, min_documents: int = MIN_DOCUMENTS, max_percent: int = MAX_PERCENT_OF_HOST
+    profiles: DataFrame, min_documents: int = MIN_DOCUMENTS, max_percent: int = MAX_PERCENT_OF_HOST, equal_texts_once: bool = False
 ) -> DataFrame:
-    """host, line, n_docs of the lines above the limit. Documents with equal texts count once:
-    copies are for deduplication to remove, and do not make their lines boilerplate."""
-    lines = profiles.select("host", "digest", F.explode("lines").alias("line")).distinct()
+    """host, line, n_docs of the lines above the limit. With ``equal_texts_once`` documents of a host that have equal texts count
+    as one: copies are for deduplication to remove, and do not make their lines boilerplate."""
+    name = "digest" if equal_texts_once else "row"
+    lines = profiles.select("host", name, F.explode("lines").alias("line"))
+    lines = lines.distinct() if equal_texts_once else lines
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_documents)
-    totals = profiles.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
+    totals = profiles.select("host", name).distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     return counts.join(totals, "host").where(100 * F.col("n_docs") > max_percent * F.col("n_host")).select("host", "line", "n_docs")
 
 
@@ -126,7 +128,7 @@ def _held(lines: DataFrame) -> DataFrame:
     return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
 
 
-def judge(docs: DataFrame, host: str = "source", **limits: int) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, host: str = "source", **limits: int | bool) -> tuple[DataFrame, DataFrame]:
     """The verdict on each row of ``docs``, and the frequent lines behind it.
 
     Verdict: row, doc_id, host, the rule counts, base_failed, removed_words, kept. A document is kept
@@ -171,9 +173,11 @@ def _passes(text: str | None, frequent: set[int], keep: int) -> str | None:
     return left if 100 * len(left.encode().split()) >= keep * len(words) else None
 
 
-def cleaned(docs: DataFrame, host: str = "source", **limits: int) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", **limits: int | bool) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns, their text without frequent lines.
 
+    A null text counts as empty, and fails the base rules; a null host is a host of its own; rows that repeat are documents
+    of their own, and stay or go together; an empty table gives no rows.
     ``n_chars``, where there is one, follows the text. Up to BROADCAST_LINES frequent lines go to
     the workers as sets; beyond that each (host, text) gets its own by a join.
     """

@@ -70,3 +70,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     n = checked(seen[4], 4096)
     assert -(-want // 4096) <= n <= -(-want // 4096) + 1
     assert corpus_pipeline.run(spark, d).count() == len(seen[4])
+
+
+def test_pipeline_of_nothing_and_of_hard_rows(spark, tmp_path):
+    """An empty table; then nulls in every column, a repeated row, a very long text and columns with the names that stages use."""
+    wide = SCHEMA + ", root string, key string, hub string, doc string, block string, n string"
+    long_text = " ".join(f"word{i * 7919 % 100_003}" for i in range(60_000))
+    clean = [(i, f"document {i} has these {i * 31} words and those {i * 17} and no others {i} at all", "en", "a", 60, "x", *"abcdef") for i in range(12)]
+    rows = [(None,) * 12, (1, None, *[None] * 10), clean[0], *clean, (99, long_text, "en", None, len(long_text), None, *"abcdef")]
+    for name, table_ in (("none", []), ("hard", rows)):
+        spark.createDataFrame(table_, wide).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in got} == ({*range(12), 99} if table_ else set())

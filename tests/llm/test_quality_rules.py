@@ -8,16 +8,16 @@ from .conftest import EDGES
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def brute(rows, min_documents, max_percent):
+def brute(rows, min_documents, max_percent, once=True):
     """doc_id, text, host rows to the contract's columns, kept and the text that is left, by plain loops."""
     norm = lambda line: " ".join(WORD.findall(line.encode().lower().decode()))
     rows = [(d, t or "", h or "") for d, t, h in rows]
     docs, totals = defaultdict(set), defaultdict(set)
-    for _, t, h in rows:
-        totals[h].add(t)
+    for i, (_, t, h) in enumerate(rows):
+        totals[h].add(t if once else i)
         for line in t.split("\n"):
             if WORD.search(line):
-                docs[h, norm(line)].add(t)
+                docs[h, norm(line)].add(t if once else i)
     often = {k for k, v in docs.items() if len(v) > min_documents and 100 * len(v) > max_percent * len(totals[k[0]])}
     out = []
     for d, t, h in rows:
@@ -32,8 +32,9 @@ def brute(rows, min_documents, max_percent):
     return out
 
 
-def check(docs, rows, **limits):
-    want = brute(rows, limits["min_documents"], limits["max_percent"])
+def check(docs, rows, once=True, **limits):
+    want = brute(rows, limits["min_documents"], limits["max_percent"], once)
+    limits["equal_texts_once"] = once
     verdict, _ = qr.judge(docs, **limits)
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.removed_words) for r in verdict.collect()]
     assert sorted(map(str, got)) == sorted(str(w[:9]) for w in want)
@@ -61,6 +62,8 @@ def test_against_brute_force(docs_of, monkeypatch):
     given = [(r[0], r[1], r[3]) for r in rows]
     want = check(docs_of(rows, extra=("host", "row", "line")), given, min_documents=5, max_percent=10)
     assert any(w[8] for w in want) and any(not w[6] and not w[7] for w in want)
+    every = check(docs_of(rows), given, once=False, min_documents=5, max_percent=10)
+    assert sum(not w[7] for w in every) > sum(not w[7] for w in want)
     monkeypatch.setattr(qr, "BROADCAST_LINES", 0)
     check(docs_of(rows), given, min_documents=5, max_percent=10)
 
