@@ -18,17 +18,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are frequent in a host go; documents that fail the rules or are depleted go."""
-    return quality_rules.cleaned(docs, host="source")
+    """Lines that are frequent in a host go; documents that fail the rules or are depleted go; a null text fails them.
+
+    In this and all further stages rows that repeat are rows of their own, a null id is a value like any other, further columns
+    pass through, and an empty table gives an empty one."""
+    return quality_rules.cleaned(docs, host="source", equal_texts_once=True)
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component stays; documents left without words go."""
+    """One line of each component stays; documents left without words go. Rows equal in id and text lose the same lines."""
     return line_dedup.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group stays, the first by id: shingles of five words, similarity of 0.8 or more. Rows without words all stay."""
     return jaccard_join.one_of_each(docs, size=5, percent=80)
 
 
@@ -39,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of every document in sequences of at most 4,096."""
+    """Every token of every document in sequences of at most 4,096; a null text has its end token only."""
     return packing.pack(docs, capacity=4096)
 
 
