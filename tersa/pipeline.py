@@ -55,14 +55,15 @@ class Pipeline:
     pipeline keeps originals in a folder of its own, in the one that driver and executors share (spark.checkpoint.dir), so whatever
     a marker names can be had back."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, store_path: str | None = None, ttl_seconds: float = store.TTL_SECONDS, key: bytes | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, store_path: str | None = None, ttl_seconds: float = store.TTL_SECONDS, key: bytes | None = None, cipher: store.Cipher | None = None):
         self.spark, self.config, self.path, self.ttl, self.key = spark, config or Config(), store_path or store.own_folder(spark), ttl_seconds, key
+        self.cipher = cipher
         self.tokens_in = self.tokens_out = 0
 
     def _put(self, originals: DataFrame) -> None:
         """Stores originals (text) before anything that names them is returned."""
-        rows = store.entries(originals.distinct(), F.current_timestamp(), self.config.salt, self.key)
-        rows.withColumn("shard", F.substring("ref", 1, 2)).write.mode("append").partitionBy("shard").parquet(self.path)
+        store.private(self.spark, self.path)
+        store.put(store.entries(originals.distinct(), F.current_timestamp(), self.config.salt, self.key, self.cipher), self.path)
 
     def compress(self, messages: DataFrame) -> Compressed:
         """messages: conv_id, idx (from 0), role, content. Only rows that are applied reach the store."""
@@ -86,7 +87,7 @@ class Pipeline:
             return refs.withColumn("text", F.lit(None).cast("string"))
         asked = refs.where(is_ref(F.col("ref"))).select("ref", F.substring("ref", 1, 2).alias("shard")).distinct()
         rows = store.load(self.spark, self.path).join(asked, ["shard", "ref"], "left_semi").drop("shard")
-        found = store.retrieve(refs, store.merged(rows.limit(0), rows), F.current_timestamp(), self.ttl, self.key)
+        found = store.retrieve(refs, store.merged(rows.limit(0), rows), F.current_timestamp(), self.ttl, self.key, self.cipher)
         if touch:
             self._put(found.where("text IS NOT NULL").select("text"))
         return found
@@ -103,7 +104,9 @@ class Pipeline:
         done = budget.compress_conversations(frame, self.config, query=query, able="plain").persist()
         self._put(done.where("ref IS NOT NULL").select("idx").join(frame, "idx").select(F.col("content").alias("text")))
         out, transforms, before, after = [dict(m) for m in messages], [], 0, 0
-        for r in done.orderBy("idx").collect():
+        rows = done.orderBy("idx").collect()
+        done.unpersist()
+        for r in rows:
             before, after = r.before, r.after
             if r.applied:
                 out[r.idx]["content"] = r.content

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +15,22 @@ SCHEMA = "ref string, payload binary, stored_at timestamp"
 TTL_SECONDS = 6 * 3600
 
 
-def entries(originals: DataFrame, now: Column, salt: str = "", key: bytes | None = None) -> DataFrame:
-    """Rows to store for originals (text); with a key, payloads are encrypted (AES-GCM)."""
-    payload = F.col("text").cast("binary")
-    held = F.aes_encrypt(payload, F.lit(key)) if key else payload
+#: What is done to a payload before it is stored, and what undoes it: expressions of a binary column.
+Cipher = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+
+
+def aes(key: bytes) -> Cipher:
+    """AES-GCM."""
+    return (lambda c: F.aes_encrypt(c, F.lit(key))), (lambda c: F.aes_decrypt(c, F.lit(key)))
+
+
+def _cipher(key: bytes | None, cipher: Cipher | None) -> Cipher:
+    return cipher or (aes(key) if key else ((lambda c: c), (lambda c: c)))
+
+
+def entries(originals: DataFrame, now: Column, salt: str = "", key: bytes | None = None, cipher: Cipher | None = None) -> DataFrame:
+    """Rows to store for originals (text); payloads go through a cipher: AES with a key, or a pair of one's own."""
+    held = _cipher(key, cipher)[0](F.col("text").cast("binary"))
     return originals.select(content_ref(F.col("text"), salt).alias("ref"), held.alias("payload"), now.cast("timestamp").alias("stored_at"))
 
 
@@ -41,11 +54,11 @@ def newest_of_each(store: DataFrame, tenant: str, capacity: int, by: str = "stor
     return store.withColumn("_r", rank).where(F.col("_r") <= capacity).drop("_r")
 
 
-def retrieve(refs: DataFrame, store: DataFrame, now: Column, ttl_seconds: float = TTL_SECONDS, key: bytes | None = None) -> DataFrame:
+def retrieve(refs: DataFrame, store: DataFrame, now: Column, ttl_seconds: float = TTL_SECONDS, key: bytes | None = None, cipher: Cipher | None = None) -> DataFrame:
     """refs (ref, anything) with text: null for a malformed, unknown or expired one."""
     found = live(store, now, ttl_seconds).select("ref", "payload")
     asked = refs.withColumn("_ok", is_ref(F.col("ref")))
-    payload = F.aes_decrypt("payload", F.lit(key)) if key else F.col("payload")
+    payload = _cipher(key, cipher)[1](F.col("payload"))
     joined = asked.join(found, (asked["ref"] == found["ref"]) & F.col("_ok"), "left")
     return joined.select(*[asked[c] for c in refs.columns], payload.cast("string").alias("text"))
 
@@ -54,6 +67,11 @@ def save(store: DataFrame, path: str) -> None:
     store.withColumn("shard", F.substring("ref", 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def put(rows: DataFrame, path: str) -> None:
+    """Adds rows to the store."""
+    rows.withColumn("shard", F.substring("ref", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Reads prune to the shard of a ref where the query names it."""
     return spark.read.schema(f"{SCHEMA}, shard string").parquet(path)
@@ -80,10 +98,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def private(spark: SparkSession, path: str) -> None:
+    """Makes the folder of a store, where there is none, for its owner only."""
+    files, at = _files(spark, path)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.setPermission(at, spark._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
+
+
 def compact(spark: SparkSession, path: str, now: Column, ttl_seconds: float = TTL_SECONDS) -> None:
     """The live entries, the latest of each reference, take the place of all of them."""
     rows = load(spark, path).drop("shard")
-    save(live(merged(rows.limit(0), rows), now, ttl_seconds), f"{path}.new")
+    private(spark, f"{path}.new")
+    put(live(merged(rows.limit(0), rows), now, ttl_seconds), f"{path}.new")
     files, at = _files(spark, path)
     _, new = _files(spark, f"{path}.new")
     files.delete(at, True)

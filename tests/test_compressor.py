@@ -271,6 +271,38 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert got == {tuple(r) for r in templates.hourly(events).collect()}
 
 
+def test_evictions_of_a_stream(spark, tmp_path):
+    """Three files, one a batch: the bound by recency as a loop has it, then the time to live by the watermark."""
+    rng = random.Random(5)
+    files = [[(f"t{rng.randrange(3)}", f"r{rng.randrange(9)}", f"2026-01-0{1 + 3 * k} {i // 60:02d}:{i % 60:02d}:00") for i in range(60)] for k in range(3)]
+    files[0] += [("quiet", "q1", "2026-01-01 00:00:00"), ("quiet", "q2", "2026-01-01 00:30:00")]
+    for k, rows in enumerate(files):
+        frame = spark.createDataFrame(rows, "tenant string, ref string, at string").withColumn("at", F.col("at").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/uses")
+    stream = spark.readStream.schema("tenant string, ref string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/uses")
+    query = templates.evictions(stream, 4, 86400).writeStream.outputMode("update").format("memory").queryName("gone").start()
+    try:
+        query.processAllAvailable()
+        got = [tuple(r) for r in spark.table("gone").collect()]
+    finally:
+        query.stop()
+    first = {}
+    for tenant, ref, at in files[0]:
+        first.setdefault(tenant, {})[ref] = at
+    out = {(t, r) for t, uses in first.items() for r in sorted(uses, key=lambda r: (uses[r], r))[:-4]}
+    assert {(t, r) for t, r, why in got if why == "capacity"} >= out
+    assert {(t, r) for t, r, why in got if why == "ttl"} >= {("quiet", "q1"), ("quiet", "q2")}
+
+
+def test_a_cipher_of_ones_own(spark, tmp_path):
+    flip = lambda c: F.unhex(F.reverse(F.hex(c)))
+    pipe = Pipeline(spark, Config(), f"file://{tmp_path}/store", cipher=(flip, flip))
+    ref = pipe.compress_blob(log()).split("[ctx-ref ")[1][:24]
+    assert pipe.retrieve_one(ref) == log()
+    raw = store.load(spark, f"file://{tmp_path}/store").first().payload
+    assert bytes(raw) != log().encode() and (tmp_path / "store").stat().st_mode & 0o077 == 0
+
+
 def test_the_rest_stands_without_the_subpackage(tmp_path):
     """The registry imports without tersa.llm and corpus_pipeline."""
     import shutil
