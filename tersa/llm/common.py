@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tersa/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tersa/{tag}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes at its end the tables that operators wrote inside it, but those whose tag is to be kept. What is lazy and reads them has
+    to be written or consumed before; what an outer scope made is not touched."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        made = _MADE.pop()
+        held = [p for p in made if p.rpartition("/")[2].rpartition("-")[0] in keep]
+        if _MADE:
+            _MADE[-1].extend(held)
+        for path in set(made) - set(held):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Shuffle files of a job that has written its table go at once, not when the driver next collects its garbage.

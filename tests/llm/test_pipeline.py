@@ -1,7 +1,10 @@
 import random
+import shutil
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
+from tersa.llm.common import shared_dir
 from tersa.llm.tokens import default_tokenizer, encoder
 
 from .test_dedup_and_scoring import brute_lines, jaccard_classes
@@ -79,6 +82,10 @@ def test_pipeline_of_nothing_and_of_hard_rows(spark, tmp_path):
     clean = [(i, f"document {i} has these {i * 31} words and those {i * 17} and no others {i} at all", "en", "a", 60, "x", *"abcdef") for i in range(12)]
     rows = [(None,) * 12, (1, None, *[None] * 10), clean[0], *clean, (99, long_text, "en", None, len(long_text), None, *"abcdef")]
     for name, table_ in (("none", []), ("hard", rows)):
+        for folder in (Path(shared_dir(spark).removeprefix("file://")) / "tersa").glob("*"):
+            shutil.rmtree(folder)
         spark.createDataFrame(table_, wide).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        left = {p.name.rpartition("-")[0] for p in (Path(shared_dir(spark).removeprefix("file://")) / "tersa").iterdir()}
+        assert left <= {"stage-mixing", "pieces"}
         assert {r.doc_id for r in got} == ({*range(12), 99} if table_ else set())
