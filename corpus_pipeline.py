@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tersa.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from tersa.llm.common import documents, written
+from tersa.llm.common import documents, scratch, written
 from tersa.llm.queries import MIX_WEIGHTS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,7 +59,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages on ``documents``. What a stage wrote on its way goes when its result is written, as do the results before it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark, f"stage-{name}"):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", *([before] if before else []))
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
