@@ -31,8 +31,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any flags) as a written table of blocks; null texts become empty."""
+def in_blocks(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text and any flags) as a written table of blocks, of ``most`` bytes of text where that is less than
+    BLOCK_BYTES; null texts become empty."""
+    full = min(most or BLOCK_BYTES, BLOCK_BYTES)
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -55,11 +57,11 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             at, done = 0, 0
             while at < batch.num_rows:
                 # Up to the row with which the block is full; a text longer than a block ends the one it is in.
-                stop = min(int(np.searchsorted(ends, done + BLOCK_BYTES - size)) + 1, batch.num_rows)
+                stop = min(int(np.searchsorted(ends, done + full - size)) + 1, batch.num_rows)
                 held.append(batch.slice(at, stop - at))
                 size += int(ends[stop - 1]) - done
                 at, done = stop, int(ends[stop - 1])
-                if size >= BLOCK_BYTES:
+                if size >= full:
                     yield flush()
                     held, size, number = [], 0, number + 1
         if held:

@@ -29,8 +29,8 @@ START, OTHER = np.uint64(0x5374617274), np.uint64(0x4F74686572)
 LEAST_COUNT = 2
 #: Weight of the bigram estimate where its history was seen, and what each word is added to its count.
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
-#: The keys of so many blocks are summed together.
-BLOCKS_A_PART = 4
+#: Bytes of text whose words are numbered, counted and scored together, and of how many such blocks the keys are summed together.
+SCORED_BYTES, BLOCKS_A_PART = 3 << 19, 8
 #: Target ids up to this many are broadcast; above it they join.
 BROADCAST_IDS = 500_000
 OUT = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, is_target boolean"
@@ -226,7 +226,7 @@ def score(docs: DataFrame, target: DataFrame, size: int | None = None, leave_out
     if it had not been counted: its own words and bigrams are taken from the counts first. With ``size`` the model is pruned: so
     many words, and bigrams seen LEAST_COUNT times.
     """
-    blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target))
+    blocks = in_blocks(flagged(pick(docs, "doc_id", "text"), target), SCORED_BYTES)
     known = vocabulary(blocks, size)
     minimum = 0 if size is None else LEAST_COUNT
     n_parts = max(partitions(docs.sparkSession), blocks.count() // BLOCKS_A_PART)
