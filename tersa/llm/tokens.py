@@ -12,14 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 END_ID = 1
-#: Words (and, apart, letter runs) that a worker keeps; beyond that it starts anew, so memory is bounded.
-CACHE_WORDS = 250_000
+#: Words, and letter runs, that a worker keeps in each of two generations.
+CACHE_WORDS, CACHE_PIECES = 100_000, 250_000
 
 #: Texts with any other character are encoded by the library as a whole.
 _NOT_PLAIN = re.compile("[^\x20-\x7e\t\n\r\x0b\x0cÀ-į]")
@@ -52,33 +53,51 @@ def _is_plain_word_bpe(spec: dict) -> bool:
     )
 
 
-class _Pieces(dict):
-    """Letter runs and symbol runs to the bytes of their ids."""
+class _Recent(dict):
+    """A cache in two generations: when the young one is full it becomes the old one, and what is asked for again moves back.
+    So frequent keys stay, and memory is bounded by twice ``most``."""
 
-    def __init__(self, model, dtype):
+    def __init__(self, most: int):
         super().__init__()
-        self.tokenize, self.dtype, self.table = model.tokenize, dtype, _byte_alphabet()
+        self.most, self.old = most, {}
+
+    def made(self, key: str) -> bytes:
+        raise NotImplementedError
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.made(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        spelled = piece.encode().decode("latin-1").translate(self.table)
-        found = np.array([t.id for t in self.tokenize(spelled)], dtype=self.dtype).tobytes()
-        self[piece] = found
+        self[key] = found
         return found
 
 
-class _Words(dict):
+class _Pieces(_Recent):
+    """Letter runs and symbol runs to the bytes of their ids."""
+
+    def __init__(self, model, dtype):
+        super().__init__(CACHE_PIECES)
+        self.tokenize, self.dtype, self.table = model.tokenize, dtype, _byte_alphabet()
+
+    def made(self, key: str) -> bytes:
+        # Printable ASCII stands for itself.
+        spelled = key if key.isascii() else key.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
+
+class _Words(_Recent):
     def __init__(self, pieces: _Pieces):
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.pieces = pieces
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        found = b"".join(map(self.pieces.__getitem__, _PIECES.findall(word)))
-        self[word] = found
-        return found
+    def made(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():
+            return self.pieces[key]
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(key)))
 
 
 class Encoder:
