@@ -85,7 +85,7 @@ def vocabulary(blocks: DataFrame, size: int | None) -> Vocabulary:
     counts = word_counts(blocks)
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "background")]
     if size is None:
-        n, *tokens = counts.agg(F.count("*"), *sums).first()
+        n, *tokens = written(counts.agg(F.count("*").alias("n"), *[x.alias(f"t{k}") for k, x in enumerate(sums)]), "totals").first()
         return Vocabulary(n + 1, tokens)
     counts = written(counts, "word-counts")
     top = counts.orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(size).collect()
@@ -230,7 +230,8 @@ def score(docs: DataFrame, target: DataFrame, size: int | None = None, leave_out
     known = vocabulary(blocks, size)
     minimum = 0 if size is None else LEAST_COUNT
     n_parts = max(partitions(docs.sparkSession), blocks.count() // BLOCKS_A_PART)
-    told = told_rows(asked_rows(blocks, known, n_parts))
+    # Written, so that the keys of all blocks need not stay on disk until the answers are read.
+    told = written(told_rows(asked_rows(blocks, known, n_parts)), "told")
     told = told.groupBy("block").agg(F.collect_list(F.struct("part", "n", "payload")).alias("told"))
 
     def rows(_: int, docs: pa.Table, told: pa.Scalar) -> pa.RecordBatch:
