@@ -165,38 +165,28 @@ def route(spark, d):
     return routed(_mixed(spark, d)).select("blob_id", "content_type")
 
 
-def _cells(spark, d):
-    return json_tables.cells(blobs.json_blobs(spark, d))
-
-
 def json_cells(spark, d):
-    rows = _cells(spark, d).where("col IS NOT NULL")
+    rows = json_tables.cells(blobs.json_blobs(spark, d), ("row", "col", "cell")).where("col IS NOT NULL")
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), "col", "cell")
 
 
 def json_columns(spark, d):
-    rows = json_tables.columns(_cells(spark, d))
+    rows = json_tables.columns(blobs.json_blobs(spark, d))
     return rows.select("blob_id", "col", "freq", F.col("n_rows").cast("long").alias("n_rows"), "constant")
 
 
 def json_outliers(spark, d):
-    table = _cells(spark, d)
-    return json_tables.outliers(table, json_tables.columns(table)).select("blob_id", F.col("row").cast("long").alias("row"))
-
-
-def _pinned(spark, d):
-    table = _cells(spark, d)
-    return json_tables.pinned(json_tables.row_texts(table), json_tables.outliers(table, json_tables.columns(table)))
+    return json_tables.outliers(blobs.json_blobs(spark, d)).select("blob_id", F.col("row").cast("long").alias("row"))
 
 
 def json_pins(spark, d):
-    rows = _pinned(spark, d)
+    rows = json_tables.pinned(json_tables.listed(blobs.json_blobs(spark, d)))
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), "anchor", "salient", "outlier")
 
 
 def json_selection(spark, d):
-    asked = blobs.json_blobs(spark, d).select("blob_id", F.lit("urgent order with status P").alias("query"))
-    rows = json_tables.chosen(_pinned(spark, d), asked, 30)
+    asked = blobs.json_blobs(spark, d).withColumn("query", F.lit("urgent order with status P"))
+    rows = json_tables.chosen(asked, 30)
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), F.coalesce("ranked", F.lit(False)).alias("ranked"), "sampled", "keep")
 
 
