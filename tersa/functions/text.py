@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LOG_LEVEL = r"\b(INFO|DEBUG|WARN|WARNING|ERROR|FATAL|TRACE)\b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, also where it is referred to many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def div(a: Column, b: int) -> Column:
     return F.floor(a / b).cast("long")
 
@@ -123,8 +130,7 @@ def sentences(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text without the empty one after a final line end."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,27 +8,25 @@ from pyspark.sql import functions as F
 from tersa.config import Config
 from tersa.functions.text import content_ref, marker, token_estimate
 from tersa.operators import code, json_tables, logs, prose
-from tersa.operators.router import routed
+from tersa.operators.router import of_kind
 
 
 def compress_blobs(blobs: DataFrame, config: Config = Config()) -> DataFrame:
     """blob_id, content_type, ref, lossy, compressed (with its marker) for the blobs (blob_id, text, query) that a
     compressor changes; ref is null where nothing is lost. Each type is filtered before its compressor runs."""
     sized = blobs.where(F.length("text") <= config.max_blob_chars)
-    found = routed(sized)
-    part = lambda kind: found.where(F.col("content_type") == kind)
-    done = [
-        json_tables.compress(part("json"), config.json_max_rows),
-        logs.compress(part("log")).withColumn("lossy", F.lit(True)),
-        code.compress(part("code")).withColumn("lossy", F.lit(True)),
-        prose.compress(part("text"), config.text_ratio)
-        .where("compressed <> text")
-        .select("blob_id", "compressed", F.lit(True).alias("lossy")),
-    ]
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    rows = found.join(every.where("compressed IS NOT NULL"), "blob_id")
+    part = {kind: of_kind(sized, kind) for kind in ("json", "log", "code", "text")}
+    done = {
+        "json": json_tables.compress(part["json"], config.json_max_rows),
+        "log": logs.compress(part["log"]).withColumn("lossy", F.lit(True)),
+        "code": code.compress(part["code"]).withColumn("lossy", F.lit(True)),
+    }
+    # Prose is compressed in its row: neither text nor summary is shuffled. The generator computes the summary once for filter and result.
+    brief = prose.compress(part["text"], config.text_ratio)
+    changed = F.filter(F.array("compressed"), lambda c: c != F.col("text"))
+    rows = brief.select("blob_id", "text", "content_type", F.lit(True).alias("lossy"), F.explode(changed).alias("compressed"))
+    for kind, found in done.items():
+        rows = rows.unionByName(part[kind].select("blob_id", "text", "content_type").join(found.where("compressed IS NOT NULL"), "blob_id"))
     ref = F.when(F.col("lossy"), content_ref(F.col("text"), config.salt))
     mark = marker(ref, token_estimate(F.col("text")), F.col("content_type"), config.marker_prefix)
     text = F.when(F.col("lossy"), F.concat(mark, F.lit("\n"), "compressed")).otherwise(F.col("compressed"))

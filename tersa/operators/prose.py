@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.functions.text import salience, sentences
-from tersa.operators.relevance import let, with_relevance
+from tersa.functions.text import let, salience, sentences
+from tersa.operators.relevance import with_relevance
 
 
 def omitted(n: Column) -> Column:

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.functions.text import stem, stems, terms
+from tersa.functions.text import let, stem, stems, terms
 
 # Saturation, length weight, squash, boost of a long identifier and its least length.
 K1, B, SQUASH, ID_BOOST, ID_LENGTH = 1.5, 0.75, 3.0, 0.35, 12
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once a row, also where lambdas refer to it many times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def counted(text: Column, asked: Column) -> Column:
     """size: how many terms a text has; tf: how often each of the stems ``asked`` is among them. A stem is the beginning of its term,
     so only terms that begin with one that is asked for are stemmed."""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tersa.functions.text import LOG_LEVEL, TIMESTAMP, lines
+from tersa.functions.text import LOG_LEVEL, TIMESTAMP, let, lines
 from tersa.operators.code import looks_like_code
 from tersa.operators.json_tables import parsed
 
@@ -16,10 +16,17 @@ LOG_LINES, LOG_PROBED, LOG_SHARE = 10, 50, 0.4
 
 
 def looks_like_log(text: Column) -> Column:
-    full = F.filter(lines(text), lambda s: s.rlike(r"(?U)\S"))
-    probe = F.slice(full, 1, LOG_PROBED)
-    hits = F.size(F.filter(probe, lambda s: s.rlike(TIMESTAMP) | s.rlike(LOG_LEVEL)))
-    return (F.size(full) >= LOG_LINES) & (hits >= F.size(probe) * LOG_SHARE)
+    def shaped(full: Column) -> Column:
+        def hit(probe: Column) -> Column:
+            return F.size(F.filter(probe, lambda s: s.rlike(TIMESTAMP) | s.rlike(LOG_LEVEL))) >= F.size(probe) * LOG_SHARE
+
+        return (F.size(full) >= LOG_LINES) & let(F.slice(full, 1, LOG_PROBED), hit)
+
+    # A line with a timestamp or level has two colons or a level's word; of other texts no line is looked at.
+    maybe = text.like("%:__:%")
+    for word in ("INFO", "DEBUG", "WARN", "ERROR", "FATAL", "TRACE"):
+        maybe = maybe | F.contains(text, F.lit(word))
+    return F.when(maybe, let(F.filter(lines(text), lambda s: s.rlike(r"(?U)\S")), shaped)).otherwise(False)
 
 
 @F.pandas_udf(BooleanType())
@@ -27,10 +34,13 @@ def _parses(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and parsed(t) is not None).astype(bool)
 
 
+def _begins(text: Column) -> Column:
+    return text.rlike(r"(?U)\A\s*[\[{]")
+
+
 def is_json(text: Column) -> Column:
     """Only texts that begin like JSON travel to the parser, which decides, in Arrow batches; the row stays where it is."""
-    begins = text.rlike(r"(?U)\A\s*[\[{]")
-    return F.coalesce(begins & _parses(F.when(begins, text)), F.lit(False))
+    return F.coalesce(_begins(text) & _parses(F.when(_begins(text), text)), F.lit(False))
 
 
 def routed(blobs: DataFrame) -> DataFrame:
@@ -38,3 +48,13 @@ def routed(blobs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     kind = F.when(is_json(text), "json").when(looks_like_log(text), "log").when(looks_like_code(text), "code").otherwise("text")
     return blobs.withColumn("content_type", kind)
+
+
+def of_kind(blobs: DataFrame, kind: str) -> DataFrame:
+    """The blobs of one content_type, as ``routed`` has it. What built-in expressions can tell comes first, so that few others are
+    looked at any further."""
+    text = F.coalesce("text", F.lit(""))
+    log, code = looks_like_log(text), looks_like_code(text)
+    told = {"json": _begins(text), "log": log, "code": code & ~log, "text": ~log & ~code}[kind]
+    json = is_json(text)
+    return blobs.where(told).where(json if kind == "json" else ~json).withColumn("content_type", F.lit(kind))
