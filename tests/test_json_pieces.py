@@ -3,7 +3,6 @@
 import json
 import math
 import random
-import statistics
 import tracemalloc
 
 import pyarrow as pa
@@ -52,3 +51,8 @@ def test_selection_carries_no_objects(spark):
     rows = json_tables.chosen(blobs, 30).collect()
     assert len(rows) == 300 and {0, 1, 2, 28, 42, 298, 299} <= {r.row for r in rows if r.keep}
     assert {r.row for r in rows if r.ranked} == {28, 42} | {r.row for r in rows if r.ranked and r.score <= json_tables.STRONG}
+
+
+def test_columns_hold_one_object_at_a_time():
+    rows, _, peak = passed(json_tables.columns, TEXT)
+    assert rows == 5 and peak < 3 * len(TEXT)
