@@ -56,3 +56,11 @@ def test_selection_carries_no_objects(spark):
 def test_columns_hold_one_object_at_a_time():
     rows, _, peak = passed(json_tables.columns, TEXT)
     assert rows == 5 and peak < 3 * len(TEXT)
+
+
+def test_a_large_table_is_rendered_from_objects_one_at_a_time():
+    tracemalloc.start()
+    out = json_tables._Profile(TEXT).rendered(None, 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.count("\n") == N + 1 and out.endswith(f"{N - 1}|{(N - 1) * 1.5}|{(N - 1) % 5}-LOW") and peak < 4 * len(TEXT)
