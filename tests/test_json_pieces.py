@@ -58,6 +58,21 @@ def test_columns_hold_one_object_at_a_time():
     assert rows == 5 and peak < 3 * len(TEXT)
 
 
+@pytest.mark.parametrize("values", [[random.Random(3).gauss(0, 1) for _ in range(500)], [0] * 8 + [1] * 2, [1e308] * 9, [float("nan")] * 3 + [1.0] * 9, [5] * 20 + [10**400]])
+def test_outliers_as_spark_has_deviations(spark, values):
+    nums = spark.createDataFrame([(i, float(v) if abs(v) < 10**300 or v != v else math.inf if v > 1e308 else float(v)) for i, v in enumerate(values)], "row int, num double").coalesce(1)
+    m, s = nums.agg(F.avg("num"), F.stddev_pop("num")).first()
+    text = json.dumps([{"id": f"r{i}", "v": v} for i, v in enumerate(values)])
+    got = {r.row for r in json_tables.outliers(spark.createDataFrame([(1, text)], "blob_id int, text string")).collect()}
+    stats = nums.where(F.lit(s) > 0).where(F.abs(F.col("num") - F.lit(m)) > 2 * F.lit(s))
+    assert got == ({r.row for r in stats.collect()} if len(set(map(str, values))) > 1 else set())
+
+
+def test_outliers_hold_one_object_at_a_time():
+    rows, _, peak = passed(json_tables.outliers, TEXT.replace('"price": 30.0', '"price": 9e9'))
+    assert rows == 1 and peak < 3 * len(TEXT)
+
+
 def test_a_large_table_is_rendered_from_objects_one_at_a_time():
     tracemalloc.start()
     out = json_tables._Profile(TEXT).rendered(None, 1_000_000)
