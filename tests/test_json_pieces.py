@@ -73,6 +73,11 @@ def test_outliers_hold_one_object_at_a_time():
     assert rows == 1 and peak < 3 * len(TEXT)
 
 
+def test_pins_come_from_rows_in_pieces():
+    rows, largest, peak = passed(json_tables.listed, TEXT)
+    assert rows == N and largest <= json_tables.PIECE_ROWS and peak < 4 * len(TEXT)
+
+
 def test_a_large_table_is_rendered_from_objects_one_at_a_time():
     tracemalloc.start()
     out = json_tables._Profile(TEXT).rendered(None, 1_000_000)
