@@ -53,6 +53,11 @@ def test_selection_carries_no_objects(spark):
     assert {r.row for r in rows if r.ranked} == {28, 42} | {r.row for r in rows if r.ranked and r.score <= json_tables.STRONG}
 
 
+def test_cells_leave_in_pieces():
+    rows, largest, peak = passed(json_tables.cells, TEXT)
+    assert rows == 5 * N and largest <= json_tables.PIECE_ROWS and peak < 25e6
+
+
 def test_columns_hold_one_object_at_a_time():
     rows, _, peak = passed(json_tables.columns, TEXT)
     assert rows == 5 and peak < 3 * len(TEXT)
