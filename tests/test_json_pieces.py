@@ -89,3 +89,13 @@ def test_a_large_table_is_rendered_from_objects_one_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.count("\n") == N + 1 and out.endswith(f"{N - 1}|{(N - 1) * 1.5}|{(N - 1) % 5}-LOW") and peak < 4 * len(TEXT)
+
+
+def test_a_lossy_table_of_many_rows(spark):
+    blobs = spark.createDataFrame([(1, large(3000), "")], "blob_id int, text string, query string")
+    row = json_tables.tabular(blobs, 30).first()
+    lines = row.compressed.split("\n")
+    assert row.lossy and lines[0] == "#table cols=key|price|meta.priority rows=30of3000" and lines[-1].startswith("2999|")
+    kept = [int(x.split("|")[0]) for x in lines[2:] if "|" in x]
+    gaps = [int(x[2:].split(" ")[0]) for x in lines[2:] if x.startswith("…(")]
+    assert len(kept) == 30 and sum(gaps) == 2970
