@@ -8,6 +8,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tersa.operators import json_tables
 
@@ -99,3 +100,34 @@ def test_a_lossy_table_of_many_rows(spark):
     kept = [int(x.split("|")[0]) for x in lines[2:] if "|" in x]
     gaps = [int(x[2:].split(" ")[0]) for x in lines[2:] if x.startswith("…(")]
     assert len(kept) == 30 and sum(gaps) == 2970
+
+
+#: Operators on texts that Spark hands to an Arrow function.
+READERS = {"columns": json_tables.columns}
+
+
+@pytest.mark.parametrize("reader", READERS)
+def test_texts_come_in_small_batches(spark, monkeypatch, reader):
+    def checked(frame, run, schema, plain=DataFrame.mapInArrow):
+        def small(batches):
+            for b in batches:
+                if b.num_rows and b.slice(0).nbytes > 15e6:
+                    raise MemoryError(f"{b.nbytes} bytes in a batch")
+                yield b
+
+        return plain(frame, lambda batches: run(small(batches)), schema)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", checked)
+    blobs = spark.createDataFrame([(large(8_000), "")], "text string, query string").crossJoin(spark.range(24).withColumnRenamed("id", "blob_id")).coalesce(1)
+    assert READERS[reader](blobs).select("blob_id").distinct().count() == 24
+
+
+def test_pieces_of_a_text_are_put_together(spark):
+    size = json_tables.PIECE_BYTES
+    plain = [json.dumps([{"a": "x" * n, "b": i} for i in range(2)]) + " " * k for n in range(size // 2 - 30, size // 2 + 5) for k in range(2)]
+    wide = [json.dumps([{"a": "é€😀" * n + "x" * k, "b": i} for i in range(3)], ensure_ascii=False) for n in (40, 120, 500) for k in range(4)]
+    texts = [*plain, *wide, None, "", "[]", "{", "no JSON " * size]
+    assert {len(t.encode()) for t in plain} >= {size - 1, size, size + 1}
+    rows = spark.createDataFrame(list(enumerate(texts)), "blob_id int, text string")
+    got = {(r.blob_id, r.row, r.col): r.cell for r in json_tables.cells(rows).collect()}
+    assert got == {(k, i, c): str(v) for k, t in enumerate(texts[:-5]) for i, obj in enumerate(json.loads(t)) for c, v in obj.items()}
