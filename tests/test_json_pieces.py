@@ -103,7 +103,13 @@ def test_a_lossy_table_of_many_rows(spark):
 
 
 #: Operators on texts that Spark hands to an Arrow function.
-READERS = {"columns": json_tables.columns, "cells": lambda blobs: json_tables.cells(blobs, ("row", "col", "cell")), "pins": lambda blobs: json_tables.pinned(json_tables.listed(blobs.select("blob_id", "text"))), "table": lambda blobs: json_tables.tabular(blobs, 1_000_000)}
+READERS = {
+    "columns": json_tables.columns,
+    "cells": lambda blobs: json_tables.cells(blobs, ("row", "col", "cell")),
+    "pins": lambda blobs: json_tables.pinned(json_tables.listed(blobs.select("blob_id", "text"))),
+    "table": lambda blobs: json_tables.tabular(blobs, 1_000_000),
+    "table_lossy": lambda blobs: json_tables.tabular(blobs, 30),
+}
 
 
 @pytest.mark.parametrize("reader", READERS)
