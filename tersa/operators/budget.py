@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tersa.config import Config
 from tersa.functions.text import content_ref, marker, token_estimate
 from tersa.operators import code, json_tables, logs, prose
-from tersa.operators.router import of_kind
+from tersa.operators.router import like_json, of_kind
 
 
 def compress_blobs(blobs: DataFrame, config: Config = Config()) -> DataFrame:
     """blob_id, content_type, ref, lossy, compressed (with its marker) for the blobs (blob_id, text, query) that a
     compressor changes; ref is null where nothing is lost. Each type is filtered before its compressor runs."""
     sized = blobs.where(F.length("text") <= config.max_blob_chars)
-    part = {kind: of_kind(sized, kind) for kind in ("json", "log", "code", "text")}
+    part = {"json": like_json(sized)} | {kind: of_kind(sized, kind) for kind in ("log", "code", "text")}
     done = {
         "json": json_tables.compress(part["json"], config.json_max_rows),
         "log": logs.compress(part["log"]).withColumn("lossy", F.lit(True)),

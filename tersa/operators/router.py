@@ -9,7 +9,7 @@ from pyspark.sql.types import BooleanType
 
 from tersa.functions.text import LOG_LEVEL, TIMESTAMP, let, lines
 from tersa.operators.code import looks_like_code
-from tersa.operators.json_tables import parsed
+from tersa.operators.json_tables import parses, unparsed
 
 # Least lines of a log, lines probed, least share of them with a timestamp or level.
 LOG_LINES, LOG_PROBED, LOG_SHARE = 10, 50, 0.4
@@ -31,7 +31,7 @@ def looks_like_log(text: Column) -> Column:
 
 @F.pandas_udf(BooleanType())
 def _parses(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t is not None and parsed(t) is not None).astype(bool)
+    return texts.map(parses).astype(bool)
 
 
 def _begins(text: Column) -> Column:
@@ -50,11 +50,18 @@ def routed(blobs: DataFrame) -> DataFrame:
     return blobs.withColumn("content_type", kind)
 
 
+def like_json(blobs: DataFrame) -> DataFrame:
+    """The blobs whose text begins like JSON: those of content_type json, and others that the JSON compressor leaves out."""
+    return blobs.where(_begins(F.coalesce("text", F.lit("")))).withColumn("content_type", F.lit("json"))
+
+
 def of_kind(blobs: DataFrame, kind: str) -> DataFrame:
     """The blobs of one content_type, as ``routed`` has it. What built-in expressions can tell comes first, so that few others are
-    looked at any further."""
+    looked at any further; texts that begin like JSON go to the parser in pieces, and those that are none come back."""
     text = F.coalesce("text", F.lit(""))
-    log, code = looks_like_log(text), looks_like_code(text)
-    told = {"json": _begins(text), "log": log, "code": code & ~log, "text": ~log & ~code}[kind]
-    json = is_json(text)
-    return blobs.where(told).where(json if kind == "json" else ~json).withColumn("content_type", F.lit(kind))
+    if kind == "json":
+        return like_json(blobs).where(is_json(text))
+    log, code, begins = looks_like_log(text), looks_like_code(text), _begins(text)
+    told = {"log": log, "code": code & ~log, "text": ~log & ~code}[kind]
+    rows = blobs.where(~begins & told).unionByName(unparsed(blobs.where(begins & told)))
+    return rows.withColumn("content_type", F.lit(kind))
