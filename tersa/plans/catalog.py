@@ -166,7 +166,7 @@ def route(spark, d):
 
 
 def json_cells(spark, d):
-    rows = json_tables.cells(blobs.json_blobs(spark, d), ("row", "col", "cell")).where("col IS NOT NULL")
+    rows = json_tables.cells(blobs.json_pieces(spark, d), ("row", "col", "cell")).where("col IS NOT NULL")
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), "col", "cell")
 
 

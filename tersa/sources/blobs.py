@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,17 @@ def json_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("blob_id", F.to_json(F.transform("a", lambda x: x["object"])).alias("text"))
 
 
+def json_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of json_blobs as blob_id, text (binary, an object each), _more (the next row goes on) and _at (from 1), each blob's rows
+    together and in order: a task sorts, and spills, rows of one object and never holds the arrays of its blobs."""
+    rows = json_rows(spark, sf_dir).select("blob_id", "o_orderkey", "object")
+    order = Window.partitionBy("blob_id").orderBy("o_orderkey", "object")
+    at, more = F.row_number().over(order), F.lead(F.lit(True), 1, False).over(order)
+    rows = rows.select("blob_id", at.alias("_at"), more.alias("_more"), "object")
+    text = F.concat(F.when(F.col("_at") == 1, "[").otherwise(","), F.to_json("object"), F.when(F.col("_more"), "").otherwise("]"))
+    return rows.select("blob_id", text.cast("binary").alias("text"), "_more", "_at")
+
+
 def code_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """blob_id, text, query: for each nation a Python module and, at blob_id + 1000, a file in a brace language."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
