@@ -180,7 +180,7 @@ def json_outliers(spark, d):
 
 
 def json_pins(spark, d):
-    rows = json_tables.pinned(json_tables.listed(blobs.json_blobs(spark, d)))
+    rows = json_tables.pinned(json_tables.listed(blobs.json_pieces(spark, d)))
     return rows.select("blob_id", F.col("row").cast("long").alias("row"), "anchor", "salient", "outlier")
 
 
