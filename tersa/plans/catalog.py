@@ -191,7 +191,7 @@ def json_selection(spark, d):
 
 
 def json_table(spark, d):
-    rows = blobs.json_blobs(spark, d).withColumn("query", F.lit(""))
+    rows = blobs.json_pieces(spark, d).withColumn("query", F.lit(""))
     return json_tables.tabular(rows, 1_000_000).select("blob_id", "compressed", "lossy")
 
 

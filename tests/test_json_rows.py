@@ -17,7 +17,7 @@ def test_rows_of_objects_make_the_texts_of_blobs(spark):
     assert both.count() == 200 and both.where("text <=> whole AND ends = 1").count() == 200
 
 
-@pytest.mark.parametrize("query", ["json_cells", "json_pins"])
+@pytest.mark.parametrize("query", ["json_cells", "json_pins", "json_table"])
 def test_no_arrays_of_blobs(spark, query):
     df = catalog.QUERIES[query](spark, SF)
     assert "json_blobs" not in catalog.QUERIES[query].__code__.co_names
