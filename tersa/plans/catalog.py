@@ -196,7 +196,7 @@ def json_table(spark, d):
 
 
 def json_table_lossy(spark, d):
-    rows = blobs.json_blobs(spark, d).withColumn("query", F.lit("urgent order with status P"))
+    rows = blobs.json_pieces(spark, d).withColumn("query", F.lit("urgent order with status P"))
     return json_tables.tabular(rows, 30)
 
 

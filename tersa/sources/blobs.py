@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of blobs are dealt to so many tasks at least: what a task sorts, or holds as arrays, is of few blobs.
+BLOB_TASKS = 64
+
+
+def by_blob(rows: DataFrame) -> DataFrame:
+    """``rows``, those of a blob_id in one task."""
+    return rows.repartition(max(BLOB_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "blob_id")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +62,7 @@ def json_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of json_blobs as blob_id, text (binary, an object each), _more (the next row goes on) and _at (from 1), each blob's rows
     together and in order: a task sorts, and spills, rows of one object and never holds the arrays of its blobs."""
-    rows = json_rows(spark, sf_dir).select("blob_id", "o_orderkey", "object")
+    rows = by_blob(json_rows(spark, sf_dir).select("blob_id", "o_orderkey", "object"))
     order = Window.partitionBy("blob_id").orderBy("o_orderkey", "object")
     at, more = F.row_number().over(order), F.lead(F.lit(True), 1, False).over(order)
     rows = rows.select("blob_id", at.alias("_at"), more.alias("_more"), "object")
