@@ -40,15 +40,21 @@ PAGE, SURCHARGE = 262_144, 256
 PARITIES, REPRESENTATIVES = 16, 3
 #: Lines that share a band, up to this many, are broadcast as 8-byte keys; beyond it they join by shuffle.
 BROADCAST_KEYS = 1_000_000
-_SPACE = r"[\x20\x09-\x0D]+"
+#: Shingles that are hashed together when a line's are gone through.
+STRIDE = 4
+_SPACE, _BLANKS = r"[\x20\x09-\x0D]+", " \t\x0b\x0c\r"
 
 
 def normal(line: Column) -> Column:
-    """Only lines with something to fold go through the pattern."""
+    """A line as it is compared. Only lines with something to fold go through the pattern."""
+    return F.lower(_folded(line))
+
+
+def _folded(line: Column) -> Column:
     odd = line.contains("  ")
-    for c in "\t\x0b\x0c\r":
+    for c in _BLANKS[1:]:
         odd |= line.contains(c)
-    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line)))
+    return F.trim(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line))
 
 
 def _spelled(normalised: Column) -> Column:
@@ -67,9 +73,9 @@ def shingles(normalised: Column, size: int = SHINGLE) -> Column:
 
 
 def _hashes(normalised: Column, size: int = SHINGLE) -> Column:
-    """The set of 64-bit hashes of a line's shingles."""
+    """The 64-bit hashes of a line's shingles, in their order; equal ones repeat."""
     every = lambda b: F.transform(_places(b, size), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * size))))
-    return F.array_distinct(F.get(F.transform(F.array(_spelled(normalised)), every), F.lit(0)))
+    return F.get(F.transform(F.array(_spelled(normalised)), every), F.lit(0))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,36 +86,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, same, place (from 0), line (normalised, not empty)."""
-    split = _keyed(docs).select("doc", "same", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    return split.select("doc", "same", "place", normal(F.col("raw")).alias("line")).where("line <> ''")
+    # A text is put in lower case as a whole. A condition on the line itself would be moved below, and the line be made twice.
+    split = _keyed(docs).select("doc", "same", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("place", "raw"))
+    return split.where(F.ltrim("raw", F.lit(_BLANKS)) != "").select("doc", "same", "place", _folded(F.col("raw")).alias("line"))
 
 
-def _permuted(row: int) -> Column:
+def _permuted(row: int, h: Column) -> Column:
     """A hash ``h`` under the permutation of a row: its bits rotated, and some flipped. Rows of one band rotate
     differently, so their least values are of other bits; rows that rotate alike differ in the first bits flipped."""
     turn, flip = 16 * (row % 4), row // 4
-    h = F.col("h") if not turn else F.shiftleft("h", turn).bitwiseOR(F.shiftrightunsigned("h", 64 - turn))
+    h = h if not turn else F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
     mask = (flip << 61 | 0x0F1E2D3C4B5A6978 * (flip + 1) & (1 << 61) - 1) & (1 << 64) - 1
     return h.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc, same, place, key (hash of the line) and least hashes of every line: the one pass over all characters."""
+    """doc, same, place, key (hash of the line) and least hashes of every line: the one pass over all characters. A row has STRIDE
+    shingles that follow one another; past the end of a line the last one repeats."""
     lines = lines_of(docs).select("*", F.xxhash64("line").alias("key"), F.monotonically_increasing_id().alias("id"))
-    each = lines.select("id", "doc", "same", "place", "key", _spelled(F.col("line")).alias("b"))
-    each = each.select("id", "doc", "same", "place", "key", "b", F.explode(_places(F.col("b"), SHINGLE)).alias("i"))
-    each = each.select("id", "doc", "same", "place", "key", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
-    names = [F.first(c).alias(c) for c in ("doc", "same", "place", "key")]
-    return each.groupBy("id").agg(*names, *[F.min(_permuted(k)).alias(f"m{k}") for k in range(ROWS)]).drop("id")
+    names = ("id", "doc", "same", "place", "key")
+    each = lines.select(*names, _spelled(F.col("line")).alias("b"))
+    each = each.select(*names, "b", F.greatest(F.octet_length("b") - (2 * SHINGLE - 1), F.lit(1)).alias("last"))
+    each = each.select(*names, "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STRIDE))).alias("i"))
+    at = [F.least(F.col("i") + 2 * j, F.col("last")) if j else F.col("i") for j in range(STRIDE)]
+    each = each.select(*names, *[F.xxhash64(F.substring("b", i, F.lit(2 * SHINGLE))).alias(f"h{j}") for j, i in enumerate(at)])
+    least = [F.min(F.least(*[_permuted(k, F.col(f"h{j}")) for j in range(STRIDE)])).alias(f"m{k}") for k in range(ROWS)]
+    # Equal in all rows of an id, so that the least is each.
+    return each.groupBy("id").agg(*[F.min(c).alias(c) for c in names[1:]], *least).drop("id")
 
 
 def meetings(marks: DataFrame) -> DataFrame:
     """hub, key: each line that shares a band once with the least line of each band it shares, hubs themselves too."""
     rows = marks.groupBy("key").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in range(ROWS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{k}" for k in triple]) for b, triple in enumerate(BANDS)]
-    bands = rows.select("key", F.explode(F.array(*bands)).alias("band"))
+    # Dealt by band once, for the least lines and for the join with them, of which the bands that are shared are the smaller side.
+    bands = rows.select("key", F.explode(F.array(*bands)).alias("band")).repartition("band")
     shared = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("_last")).where("hub <> _last")
-    return bands.join(shared.select("band", "hub"), "band").select("hub", "key").distinct()
+    return bands.join(shared.select("band", "hub").hint("shuffle_hash"), "band").select("hub", "key").distinct()
 
 
 def near_lines(docs: DataFrame, meets: DataFrame) -> DataFrame:
@@ -119,11 +132,22 @@ def near_lines(docs: DataFrame, meets: DataFrame) -> DataFrame:
     near = F.broadcast(near) if near.count() <= BROADCAST_KEYS else near
     texts = lines_of(docs).select(F.xxhash64("line").alias("key"), "line").join(near, "key", "left_semi")
     texts = written(texts.groupBy("key").agg(F.first("line").alias("line")), "line-texts")
-    each = texts.select("key", F.explode(_hashes(F.col("line"))).alias("h"))
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(PARITIES - 1))
-    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
-    parity = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)]
-    return written(texts.join(each.groupBy("key").agg(F.count("*").alias("n"), *parity), "key"), "near-lines", texts)
+    sets = texts.select("key", F.array_distinct(_hashes(F.col("line"))).alias("set"))
+    each = sets.select("key", "set", F.size("set").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.size("set") - 1, F.lit(STRIDE))).alias("i"))
+    each = each.select("key", "n", *[F.get("set", F.col("i") + j).alias(f"h{j}") for j in range(STRIDE)])
+
+    def bits(k: int, h: str) -> Column:
+        """The bit of a hash, if it is in word ``k``; past the end of a set there is none."""
+        bit = F.expr(f"shiftleft(1L, CAST({h} & 63 AS INT))")
+        return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(PARITIES - 1)) == k, bit).otherwise(F.lit(0).cast("long"))
+
+    parity = []
+    for k in range(PARITIES):
+        odd = bits(k, "h0")
+        for j in range(1, STRIDE):
+            odd = odd.bitwiseXOR(bits(k, f"h{j}"))
+        parity.append(F.bit_xor(odd).alias(f"p{k}"))
+    return written(texts.join(each.groupBy("key").agg(F.max("n").alias("n"), *parity), "key"), "near-lines", texts)
 
 
 def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
