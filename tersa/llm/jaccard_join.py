@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.blocks import Words, each_block, in_blocks, list_of, member, rolling, slices
+from tersa.llm.blocks import Words, distinct, each_block, in_blocks, list_of, member, rolling, slices
 from tersa.llm.common import partitions, pick, written
 from tersa.llm.graph import components
 from tersa.llm.tokens import batches
@@ -76,7 +76,7 @@ def shingle_sets(docs: pa.Table, size: int) -> list[np.ndarray]:
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
             n = b - a
             if n >= size:
-                out.append(np.unique(full[a : b - size + 1]))
+                out.append(distinct(full[a : b - size + 1]))
             elif n:
                 out.append(np.array([xxhash.xxh3_64_intdigest(words.hash[a:b].tobytes(), seed=n)], dtype=np.uint64))
             else:
@@ -394,10 +394,13 @@ def linked(blocks: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     nodes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("block", "place"), F.struct("block", "place")).alias("o"), F.first("n").alias("n"))
     nodes = written(nodes.select("node", "o.block", "o.place", "n"), "classes")
     frequent = frequent_shingles(blocks, size, percent)
-    fronts = prefixes(blocks, size, percent, frequent)
-    hubs = fronts.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
+    # Dealt by shingle once, for the hubs and for the join with them, of which the hubs are the smaller side. Both have to read the
+    # same columns for that; no set in it has a size of 0.
+    fronts = prefixes(blocks, size, percent, frequent).repartition("shingle")
+    hubs = fronts.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last"), F.max("n").alias("_n"))
+    hubs = hubs.where("hub <> _last AND _n > 0")
     # Copies in several blocks bring a set's prefix more than once.
-    shared = fronts.join(hubs.select("shingle", "hub"), "shingle").groupBy("node")
+    shared = fronts.join(hubs.select("shingle", "hub").hint("shuffle_hash"), "shingle").groupBy("node")
     shared = shared.agg(F.first("n").cast("long").alias("n"), F.collect_set("shingle").alias("members"), F.collect_set("hub").alias("hubs"))
     shared = written(shared, "fronts")
 
