@@ -91,13 +91,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.where(F.ltrim("raw", F.lit(_BLANKS)) != "").select("doc", "same", "place", _folded(F.col("raw")).alias("line"))
 
 
-def _permuted(row: int, h: Column) -> Column:
-    """A hash ``h`` under the permutation of a row: its bits rotated, and some flipped. Rows of one band rotate
-    differently, so their least values are of other bits; rows that rotate alike differ in the first bits flipped."""
-    turn, flip = 16 * (row % 4), row // 4
-    h = h if not turn else F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
+def _turned(h: Column, row: int) -> Column:
+    """A hash with its bits rotated as the permutation of a row has them."""
+    turn = 16 * (row % 4)
+    return h if not turn else F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
+
+
+def _flipped(turned: Column, row: int) -> Column:
+    """The rest of a row's permutation of a hash: some bits flipped. Rows of one band rotate differently, so their
+    least values are of other bits; rows that rotate alike differ in the first bits flipped."""
+    flip = row // 4
     mask = (flip << 61 | 0x0F1E2D3C4B5A6978 * (flip + 1) & (1 << 61) - 1) & (1 << 64) - 1
-    return h.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+    return turned.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -110,9 +115,11 @@ def marked(docs: DataFrame) -> DataFrame:
     each = each.select(*names, "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STRIDE))).alias("i"))
     at = [F.least(F.col("i") + 2 * j, F.col("last")) if j else F.col("i") for j in range(STRIDE)]
     each = each.select(*names, *[F.xxhash64(F.substring("b", i, F.lit(2 * SHINGLE))).alias(f"h{j}") for j, i in enumerate(at)])
-    least = [F.min(F.least(*[_permuted(k, F.col(f"h{j}")) for j in range(STRIDE)])).alias(f"m{k}") for k in range(ROWS)]
-    # Equal in all rows of an id, so that the least is each.
-    return each.groupBy("id").agg(*[F.min(c).alias(c) for c in names[1:]], *least).drop("id")
+    # Rows that rotate alike share what is rotated.
+    each = each.select(*names, *[_turned(F.col(f"h{j}"), k).alias(f"t{k}_{j}") for j in range(STRIDE) for k in range(4)])
+    each = each.select(*names, *[F.least(*[_flipped(F.col(f"t{k % 4}_{j}"), k) for j in range(STRIDE)]).alias(f"m{k}") for k in range(ROWS)])
+    # The names are equal in all rows of an id, so that the least is each.
+    return each.groupBy("id").agg(*[F.min(c).alias(c) for c in (*names[1:], *[f"m{k}" for k in range(ROWS)])]).drop("id")
 
 
 def meetings(marks: DataFrame) -> DataFrame:

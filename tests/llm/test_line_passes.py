@@ -36,7 +36,7 @@ def test_least_hashes_are_of_every_shingle(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc: [r[f"m{k}"] for k in range(line_dedup.ROWS)] for r in line_dedup.marked(docs).collect()}
     lines = line_dedup.lines_of(docs).select("doc", F.explode(line_dedup._hashes(F.col("line"))).alias("h"))
-    least = [F.min(line_dedup._permuted(k, F.col("h"))).alias(f"m{k}") for k in range(line_dedup.ROWS)]
+    least = [F.min(line_dedup._flipped(line_dedup._turned(F.col("h"), k), k)).alias(f"m{k}") for k in range(line_dedup.ROWS)]
     assert got == {r.doc: [r[f"m{k}"] for k in range(line_dedup.ROWS)] for r in lines.groupBy("doc").agg(*least).collect()}
 
 
