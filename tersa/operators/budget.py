@@ -13,9 +13,10 @@ from tersa.operators.router import like_json, of_kind
 
 def compress_blobs(blobs: DataFrame, config: Config = Config()) -> DataFrame:
     """blob_id, content_type, ref, lossy, compressed (with its marker) for the blobs (blob_id, text, query) that a
-    compressor changes; ref is null where nothing is lost. Each type is filtered before its compressor runs."""
-    sized = blobs.where(F.length("text") <= config.max_blob_chars)
-    part = {"json": like_json(sized)} | {kind: of_kind(sized, kind) for kind in ("log", "code", "text")}
+    compressor changes; ref is null where nothing is lost. Each type is filtered before its compressor runs. Blobs of any size are
+    compressed: ``max_blob_chars`` is for callers who keep large ones back."""
+    given = blobs.where("text IS NOT NULL")
+    part = {"json": like_json(given)} | {kind: of_kind(given, kind) for kind in ("log", "code", "text")}
     done = {
         "json": json_tables.compress(part["json"], config.json_max_rows),
         "log": logs.compress(part["log"]).withColumn("lossy", F.lit(True)),
