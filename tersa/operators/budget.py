@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersa.config import Config
@@ -22,16 +22,21 @@ def compress_blobs(blobs: DataFrame, config: Config = Config()) -> DataFrame:
         "log": logs.compress(part["log"]).withColumn("lossy", F.lit(True)),
         "code": code.compress(part["code"]).withColumn("lossy", F.lit(True)),
     }
+    def known(rows: DataFrame, *more: Column) -> DataFrame:
+        """What the marker says of each text, found in its row: the text itself is not carried on."""
+        text = F.col("text")
+        return rows.select("blob_id", "content_type", content_ref(text, config.salt).alias("ref"), token_estimate(text).alias("tokens"), *more)
+
     # Prose is compressed in its row: neither text nor summary is shuffled. The generator computes the summary once for filter and result.
     brief = prose.compress(part["text"], config.text_ratio)
     changed = F.filter(F.array("compressed"), lambda c: c != F.col("text"))
-    rows = brief.select("blob_id", "text", "content_type", F.lit(True).alias("lossy"), F.explode(changed).alias("compressed"))
+    brief = brief.select("blob_id", "text", "content_type", F.explode(changed).alias("compressed"))
+    rows = known(brief, F.lit(True).alias("lossy"), F.col("compressed"))
     for kind, found in done.items():
-        rows = rows.unionByName(part[kind].select("blob_id", "text", "content_type").join(found.where("compressed IS NOT NULL"), "blob_id"))
-    ref = F.when(F.col("lossy"), content_ref(F.col("text"), config.salt))
-    mark = marker(ref, token_estimate(F.col("text")), F.col("content_type"), config.marker_prefix)
+        rows = rows.unionByName(known(part[kind]).join(found.where("compressed IS NOT NULL"), "blob_id"))
+    mark = marker(F.col("ref"), F.col("tokens"), F.col("content_type"), config.marker_prefix)
     text = F.when(F.col("lossy"), F.concat(mark, F.lit("\n"), "compressed")).otherwise(F.col("compressed"))
-    return rows.select("blob_id", "content_type", ref.alias("ref"), "lossy", text.alias("compressed"))
+    return rows.select("blob_id", "content_type", F.when(F.col("lossy"), F.col("ref")).alias("ref"), "lossy", text.alias("compressed"))
 
 
 def measured(messages: DataFrame, config: Config = Config(), query: str = "", able: str | None = None) -> DataFrame:

@@ -278,11 +278,14 @@ def store_roundtrip(spark, d):
 
 def mixed_roundtrip(spark, d):
     """Prose, logs, JSON and code compressed together; what is lossy comes back from the store by the reference in its marker."""
-    rows = _mixed(spark, d).withColumn("query", F.lit(QUERY))
+    folder = store.own_folder(spark)
+    # The compressors of four kinds read the texts some twenty times, and two joins read what is lossy: both are made once.
+    rows = store.written(_mixed(spark, d), f"{folder}/texts").withColumn("query", F.lit(QUERY))
     lossy = budget.compress_blobs(rows, Config(json_max_rows=20)).where("lossy")
     named = F.regexp_extract("compressed", r"^\[ctx-ref ([0-9a-f]{24}) ", 1).alias("ref")
+    lossy = store.written(lossy.select("blob_id", named), f"{folder}/named")
     kept = store.entries(rows.join(lossy.select("blob_id"), "blob_id").select("text"), F.lit(NOW))
-    back = store.retrieve(lossy.select("blob_id", named), store.merged(kept.limit(0), kept), F.lit(NOW))
+    back = store.retrieve(lossy, store.merged(kept.limit(0), kept), F.lit(NOW))
     found = rows.select("blob_id", F.md5("text").alias("own")).join(back.select("blob_id", F.md5("text").alias("stored"), F.lit(True).alias("lossy")), "blob_id", "left")
     return found.select("blob_id", F.when(F.col("lossy"), F.col("stored")).otherwise(F.col("own")).alias("md5"))
 

@@ -88,6 +88,13 @@ def own_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/originals-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as a Parquet table at ``path``, for what reads them many times. A page ends with the text that fills it; by default it
+    would hold a hundred, however large."""
+    rows.write.option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 100).option("parquet.enable.dictionary", "false").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
