@@ -38,7 +38,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log_lines(spark, sf_dir).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("a"))
+    rows = by_blob(log_lines(spark, sf_dir)).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("a"))
     return rows.select("blob_id", F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -55,7 +55,7 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = json_rows(spark, sf_dir).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "object"))).alias("a"))
+    rows = by_blob(json_rows(spark, sf_dir)).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "object"))).alias("a"))
     return rows.select("blob_id", F.to_json(F.transform("a", lambda x: x["object"])).alias("text"))
 
 

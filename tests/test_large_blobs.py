@@ -11,6 +11,7 @@ from tersa.functions import text as T
 from tersa.operators import budget
 from tersa.pipeline import Pipeline
 from tersa.plans import catalog
+from tersa.sources import blobs as sources
 
 LOG = "\n".join(f"2026-07-19T10:00:{i:02d}Z INFO GET /api/users/{i} 200" for i in range(40))
 CODE = "import os\n\n" + "\n".join(f"def f{i}(x):\n    y = x + {i}\n    z = y * y\n    return z\n" for i in range(40))
@@ -73,3 +74,10 @@ def test_the_texts_of_a_roundtrip_are_made_once(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "MapInArrow" not in plan
     assert done.where("md5 IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("made", [sources.log_blobs, sources.json_blobs])
+def test_texts_are_made_of_few_blobs_a_task(spark, made):
+    rows = made(spark, "/root/testdata/sf0.01")
+    tasks = rows.select(F.spark_partition_id().alias("task")).groupBy("task").count().agg(F.max("count"), F.sum("count")).first()
+    assert tasks[0] <= 12 and tasks[1] >= 40
